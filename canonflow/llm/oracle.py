@@ -28,7 +28,7 @@ WORDS = r"[^\x20\x09-\x0D]+"
 OP6 = rf"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({LOWER}, '{WORDS}') AS w FROM documents),
 sets AS (
-    SELECT doc_id, list_distinct(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), i -> array_to_string(w[i : i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM d
+    SELECT doc_id, list_distinct(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM d
 ),
 el AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
 common AS (SELECT a.doc_id AS p, b.doc_id AS q, count(*) AS k, any_value(a.n) AS m, any_value(b.n) AS n FROM el a JOIN el b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
