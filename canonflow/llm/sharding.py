@@ -53,8 +53,9 @@ def shard_documents(documents: DataFrame, shards: int = 24, rounds: int = 3, id_
     linked = groups.where("n > 1").select("g", "group_bytes")
     # a group above a fiftieth of a shard asks for places copy by copy, others as one
     whole = F.col("group_bytes") * 50 <= part
-    members = docs.join(linked, "g").select("doc_id", "size", "g", F.when(whole, hashed(F.col("g"), 1, BINS)).otherwise(hashed(F.col("doc_id"), 1, BINS)).alias("bin"), hashed(F.col("doc_id"), 2, shards).alias("shard"))
-    # copies that share all of that are one row
+    # copies of the same bin and first shard are one row, before they meet the rest of their group
+    members = docs.groupBy("g", hashed(F.col("doc_id"), 1, BINS).alias("own"), hashed(F.col("doc_id"), 2, shards).alias("shard")).agg(F.sum("size").alias("size"))
+    members = members.join(linked, "g").select("size", "g", F.when(whole, hashed(F.col("g"), 1, BINS)).otherwise(F.col("own")).alias("bin"), "shard")
     atoms = keep(members.groupBy("g", "bin", "shard").agg(F.sum("size").alias("bytes")).withColumn("from", F.col("shard")), "atoms")
     every = documents.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"))
     for _ in range(rounds):
