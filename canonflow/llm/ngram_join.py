@@ -7,8 +7,10 @@ one class, so copies cost one row.  Then:
 1. Order 1 ranks shingles by how often their bucket occurs in all documents
    (262,144 counts, a table of fixed size), rare ones first.  A set's first
    |s| - ceil(percent * |s| / 100) + 1 shingles are its prefix; linked sets
-   share a shingle of their prefixes, in this and in every other order.
-2. Sets that share such a shingle form a group.  Groups that touch are brought
+   share a shingle of their prefixes, in this and in every other order.  With
+   l - 1 shingles more, they share l: a set that has fewer shingles in common
+   with others than any partner would need drops out.
+2. Sets that share a shingle of the prefix form a group.  Groups that touch are brought
    together under one label while they stay small, so that a set travels about
    once.  A shingle with more sets than `block` is dealt into blocks.
 3. In a task, a pair is verified only if its prefixes meet in all three
@@ -66,6 +68,11 @@ def prefix_length(size, percent: int):
     return size - (percent * size + 99) // 100 + 1
 
 
+def shared_least(size, percent: int):
+    """Shingles that a set of this size shares with a linked set of the same size or larger, if both prefixes are longer by that many less one."""
+    return 1 + prefix_length(size, percent) // 3
+
+
 def bucket(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
@@ -118,8 +125,8 @@ def _sum_counts(part: pa.Table) -> pa.Table:
 
 
 def _postings(n: int, percent: int, counts: np.ndarray):
-    """Second pass: the order-1 prefix of each set, once in a task."""
-    fields = [("token", pa.int64()), ("key", pa.int64())]
+    """Second pass: the longer order-1 prefix of each set, once in a task. code: twice the shingles that the set must share, plus 1 in the prefix proper."""
+    fields = [("token", pa.int64()), ("key", pa.int64()), ("code", pa.int32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met = set()
@@ -128,32 +135,36 @@ def _postings(n: int, percent: int, counts: np.ndarray):
             for _, found in sets_of(batch.column(0), n):
                 if len(found) and (key := class_key(found)) not in met:
                     met.add(key)
-                    p = prefix_length(len(found), percent)
-                    own = counts[bucket(found)]
-                    one = found[np.lexsort((found, own))[:p]]
-                    out.append((one, np.full(p, key, np.int64)))
+                    size = len(found)
+                    p = prefix_length(size, percent)
+                    longer = p + shared_least(size, percent) - 1
+                    one = found[np.lexsort((found, counts[bucket(found)]))[:longer]]
+                    code = np.full(len(one), 2 * shared_least((percent * size + 99) // 100, percent), np.int32)
+                    code[:p] += 1
+                    out.append((one.view(np.int64), np.full(len(one), key, np.int64), code))
             if out:
-                yield _batch(fields, [np.concatenate([x[k] for x in out]).view(np.int64) for k in (0, 1)])
+                yield _batch(fields, [np.concatenate([x[k] for x in out]) for k in range(3)])
 
-    return run, "token long, key long"
+    return run, "token long, key long, code int"
 
 
-def _filter_bit(keys: np.ndarray) -> np.ndarray:
-    return keys.astype(np.uint64) & np.uint64((1 << FILTER_BITS) - 1)
+def _filter_bit(key: int, doc_id: int | None) -> int:
+    return (key ^ (-1 if doc_id is None else doc_id) * 0x9E3779B1) & ((1 << FILTER_BITS) - 1)
 
 
 def _wanted_sets(n: int, bits: np.ndarray):
-    """Third pass: the sets whose bit is set, once in a task."""
+    """Third pass: the sets of the documents whose bit is set, once in a task."""
     fields = [("key", pa.int64()), ("shingles", pa.binary())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met = set()
         for batch in batches:
+            ids = batch.column(0).to_pylist()
             keys, found_sets, held = [], [], 0
-            for _, found in sets_of(batch.column(0), n):
+            for row, found in sets_of(batch.column(1), n):
                 if not len(found) or (key := class_key(found)) in met:
                     continue
-                at = int(_filter_bit(np.array([key], np.int64))[0])
+                at = _filter_bit(key, ids[row])
                 if bits[at >> 3] >> (at & 7) & 1:
                     met.add(key)
                     keys.append(key)
@@ -275,19 +286,23 @@ def ngram_jaccard_join(documents: DataFrame, n: int = 4, percent: int = 85, bloc
 
     run, schema = _postings(n, percent, counts)
     postings = keep(_shared_only(texts.mapInArrow(run, schema)), "shared")
+    # a set that shares too little goes, and then shingles that nobody else has any more
+    for _ in range(2):
+        enough = postings.groupBy("key").agg(F.count("*").alias("n"), F.max(F.shiftright("code", 1)).alias("need")).where("n >= need").select("key")
+        postings = _counted(postings.join(enough, "key", "left_semi").select("token", "key", "code"))
+    postings = keep(_counted(postings.where("code % 2 = 1").select("token", "key", "code")).select("token", "key", "members"), "postings")
     deals = F.ceil(F.col("members") / F.lit(block)).cast("long")
     dealt = postings.withColumn("deal", F.when(F.col("members") > block, F.pmod(F.xxhash64("key", F.lit(11)), deals)).otherwise(F.lit(0).cast("long")))
     groups = _labelled(dealt, block)
 
-    bits = _key_filter(groups)
+    chosen = rows.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    bits = _key_filter(groups.select("key").distinct().join(chosen, "key"))
     run, schema = _wanted_sets(n, bits)
-    wanted = texts.mapInArrow(run, schema).groupBy("key").agg(F.first("shingles").alias("shingles"))
-    # a set of a task is at most once in `groups`; only sets that some task wants are kept
-    sets = keep(wanted.join(groups.select("key").distinct(), "key", "left_semi"), "sets")
+    sets = docs.where("text IS NOT NULL").mapInArrow(run, schema).groupBy("key").agg(F.first("shingles").alias("shingles"))
     run, schema = _verify(counts, percent)
     none = F.lit(None).cast("long")
     links = keep(groups.join(sets, "key").select("task", "key", "shingles", none.alias("side"), none.alias("label")).groupBy("task").applyInArrow(run, schema), "links")
-    hot = keep(postings.where(F.col("members") > block).select("token", "key", "members"), "hot")
+    hot = keep(postings.where(F.col("members") > block), "hot")
     labels = components(links)
     if not hot.isEmpty():
         links = keep(links.union(_across(hot, labels, sets, counts, percent, block)), "links")
@@ -300,11 +315,15 @@ def ngram_jaccard_join(documents: DataFrame, n: int = 4, percent: int = 85, bloc
     return found.unionByName(rows.where("key IS NULL").select("doc_id", F.col("size").alias("n_shingles"), F.col("key").alias("class_key"), F.col("doc_id").alias("component_id")))
 
 
+def _counted(postings: DataFrame) -> DataFrame:
+    """With members, the number of sets of a shingle, for shingles that two sets or more have."""
+    return postings.withColumn("members", F.count("*").over(Window.partitionBy("token"))).where("members > 1")
+
+
 def _shared_only(postings: DataFrame) -> DataFrame:
-    """(token, key, members) of shingles that two sets or more have. One exchange: a set has one row for each of its many
-    shingles, so that even a shingle of all sets is a small part of the rows."""
-    once = postings.repartition("token").groupBy("token", "key").agg(F.lit(1).alias("one"))
-    return once.select("token", "key", F.count("*").over(Window.partitionBy("token")).alias("members")).where("members > 1")
+    """Shingles of one set, most of all, go in one exchange. A set has one row for each of its many shingles, so that even a
+    shingle of all sets is a small part of the rows."""
+    return _counted(postings.repartition("token").groupBy("token", "key").agg(F.max("code").alias("code")))
 
 
 def _labelled(dealt: DataFrame, block: int) -> DataFrame:
@@ -325,10 +344,11 @@ def _labelled(dealt: DataFrame, block: int) -> DataFrame:
     return keep(fits.select(F.xxhash64("task", F.lit(1)).alias("task"), "key").union(alone).union(hot).distinct(), "tasks")
 
 
-def _key_filter(groups: DataFrame) -> np.ndarray:
-    """A bit per key modulo 2**26, 8 MB at any size of input; it may let a set pass that no task wants, never the other way."""
-    at = F.col("key").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    chunks = groups.select(F.shiftright(at, 16).cast("int").alias("chunk"), at.bitwiseAND(F.lit(0xFFFF)).cast("int").alias("at")).distinct().groupBy("chunk").applyInArrow(_bits, "chunk int, bits binary")
+def _key_filter(wanted: DataFrame) -> np.ndarray:
+    """A bit for each wanted (key, doc_id) modulo 2**26, 8 MB at any size of input; it may let a set pass that no task wants, never the other way."""
+    scaled = (F.coalesce("doc_id", F.lit(-1)).cast("decimal(20,0)") * F.lit(0x9E3779B1)) % F.lit(1 << 32)  # as in _filter_bit, without overflow
+    at = F.col("key").bitwiseXOR(scaled.cast("long")).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    chunks = wanted.select(F.shiftright(at, 16).cast("int").alias("chunk"), at.bitwiseAND(F.lit(0xFFFF)).cast("int").alias("at")).distinct().groupBy("chunk").applyInArrow(_bits, "chunk int, bits binary")
     out = np.zeros((1 << FILTER_BITS) >> 3, np.uint8).reshape(-1, (1 << 16) >> 3)
     for x in chunks.collect():
         out[x.chunk] = np.frombuffer(x.bits, np.uint8)
