@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .tokens import WordTokenizer
+from .tokens import word_tokenizer
 
 CAPACITY = 4096
 OUT_BYTES = 8 << 20
@@ -163,16 +163,14 @@ def pack(documents: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: i
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(tokenizer_path)
+        tokenizer = word_tokenizer(tokenizer_path)
         counted[0] = TaskContext.get().partitionId() << 32
         ids: list = []
         parts: list[np.ndarray] = []
         held = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                tokens, first = tokenizer.encode(part.column(1))
-                for i, key in enumerate(part.column(0).to_pylist()):
+            for at, to, tokens, first in tokenizer.chunks(batch.column(1)):
+                for i, key in enumerate(batch.column(0).slice(at, to - at).to_pylist()):
                     own = tokens[first[i] : first[i + 1]]
                     ids.append(key)
                     parts.append(np.append(own, np.uint32(end_id)))

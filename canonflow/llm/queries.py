@@ -50,11 +50,10 @@ def count_tokens(documents: DataFrame, word_path: str, byte_path: str) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        words, raw = tokens.WordTokenizer(word_path), tokens.TiktokenCounter(byte_path, public_tokenizers.PATTERN)
+        words, raw = tokens.word_tokenizer(word_path), tokens.TiktokenCounter(byte_path, public_tokenizers.PATTERN)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                _, first = words.encode(part.column(4))
+            for at, to, _, first in words.chunks(batch.column(4)):
+                part = batch.slice(at, to - at)
                 yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(first[1:] - first[:-1]), pa.array(raw.count(part.column(4)))], names=["doc_id", "source", "lang", "text_key", "word_bpe", "byte_bpe"])
 
     docs = documents.select("doc_id", "source", "lang", F.xxhash64("text").alias("text_key"), F.col("text"))
