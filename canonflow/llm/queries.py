@@ -64,7 +64,8 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents are inserted, exact copies deleted, the rest revised to another tokenizer, and the deletes sent again."""
     counted = keep(count_tokens(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), tokenizer_path("byte_bpe_50k.tiktoken")), "counts")
     least = counted.groupBy("text_key").agg(F.min("doc_id").alias("least"))
-    counted = counted.join(least, "text_key").select("source", "lang", "word_bpe", "byte_bpe", (F.col("doc_id") > F.col("least")).alias("copy"))
+    # the join is written alone: in a stage without sums, a hot text's rows can be split
+    counted = keep(counted.join(least, counted["text_key"].eqNullSafe(least["text_key"])).select("source", "lang", "word_bpe", "byte_bpe", (F.col("doc_id") > F.col("least")).alias("copy")), "copies")
     none = F.lit(None)
     changes = lambda df, op, new, old=None: df.select(F.lit(op).alias("op"), "source", "lang", F.lit(new).alias("tokenizer_version"), F.col(new).alias("n_tokens"), (F.lit(old) if old else none.cast("string")).alias("old_tokenizer_version"), (F.col(old) if old else none.cast("long")).alias("old_n_tokens"))
     rollup = token_rollup.TokenRollup(spark, new_folder(spark, "rollup"))
