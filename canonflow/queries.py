@@ -1,15 +1,293 @@
-"""Driver queries of the ingestion and data-quality engine."""
+"""Driver queries of the ingestion and data-quality engine, with the SQL that says the same."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.text import clean_text, fingerprint, jaccard, nfkc, normalise_header_column, similarity, to_date, to_number
+from .operators import dq, project, report
 
-def exception_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return orders.groupBy("o_orderpriority").agg(F.count("*").alias("n"))
+TOKENS = ["", "4-NOT SPECIFIED"]
+JOB = "JOB-1"
+ALIASES = [("economy", "PART", "Type"), ("standard", "PART", "Type"), ("promo", "PART", "Type"), ("customer_name", "CUSTOMER", "Name"), ("cust_name", "CUSTOMER", "Name"), ("order_date", "ORDER", "Date"), ("nation_1", "NATION", "Name"), ("nation_12", "NATION", "Name"), ("nation_20", "NATION", "Name"), ("nation", "NATION", "Name")]
 
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def q1_mandatory_null(spark: SparkSession, d: str) -> DataFrame:
+    orders = read(spark, d, "orders").select(F.lit("orders").alias("Source_Filename"), F.col("o_orderkey").alias("Source_Row_Index"), F.col("o_orderpriority").alias("Priority"))
+    found = dq.cell_faults(orders, dq.Checks("ORDER", {"Priority": "string"}, ["Priority"], tokens=TOKENS, sources={"Priority": "o_orderpriority"}))
+    return found.select(F.col("Source_Row_Index").alias("orderkey"), F.col("Source_Column_Name").alias("source_column"), F.col("Canonical_Column").alias("canonical_column"), F.col("Raw_Value").alias("raw_value"), F.col("Exception_Type").alias("exception_type"), F.col("Reason").alias("reason"))
+
+
+def _order_counts(spark: SparkSession, d: str) -> DataFrame:
+    return report.null_counts(read(spark, d, "orders"), ["o_orderstatus", "o_orderpriority", "o_totalprice"], TOKENS)
+
+
+def q1_null_counts(spark: SparkSession, d: str) -> DataFrame:
+    return _order_counts(spark, d)
+
+
+def a1_fill_rate(spark: SparkSession, d: str) -> DataFrame:
+    return report.with_fill(_order_counts(spark, d))
+
+
+def a3_merge_fill(spark: SparkSession, d: str) -> DataFrame:
+    files = read(spark, d, "orders").withColumn("file", F.col("o_orderstatus"))
+    return report.merged_fill(report.null_counts(files, ["o_orderpriority", "o_totalprice"], TOKENS, ["file"]), ["column_name"])
+
+
+_AMOUNT = F.when(F.col("o_orderkey") % 7 == 0, F.lit("n/k")).when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit(" € "), F.floor("o_totalprice").cast("string"))).otherwise(F.concat(F.lit("$"), F.floor("o_totalprice").cast("string"), F.lit(",000")))
+
+
+def q2_numeric_coerce(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "orders").select("o_orderkey", _AMOUNT.alias("raw")).select("o_orderkey", "raw", to_number(F.col("raw"), TOKENS).alias("amount"))
+
+
+def q2_type_mismatch(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "orders").select(F.lit("orders").alias("Source_Filename"), F.col("o_orderkey").alias("Source_Row_Index"), _AMOUNT.alias("Amount"))
+    found = dq.cell_faults(rows, dq.Checks("ORDER", {"Amount": "numeric"}, tokens=TOKENS))
+    return found.select(F.col("Source_Row_Index").alias("orderkey"), F.col("Raw_Value").alias("raw_value"), F.col("Exception_Type").alias("exception_type"), F.col("Reason").alias("reason"))
+
+
+def q3_date_coerce(spark: SparkSession, d: str) -> DataFrame:
+    day = F.col("o_orderdate").cast("timestamp_ntz")
+    raw = F.when(F.col("o_orderkey") % 3 == 0, F.date_format(day, "dd/MM/yyyy")).when(F.col("o_orderkey") % 3 == 1, F.date_format(day, "dd-MMM-yyyy")).otherwise(F.date_format(day, "yyyyMMdd"))
+    return read(spark, d, "orders").select("o_orderkey", raw.alias("raw")).select("o_orderkey", "raw", F.date_format(to_date(F.col("raw"), TOKENS), "yyyy-MM-dd").alias("day"))
+
+
+def q4_duplicate_key(spark: SparkSession, d: str) -> DataFrame:
+    extra = dq.duplicate_rows(read(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey"])
+    return extra.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("extra_rows"))
+
+
+def _parents(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "orders").where("o_orderstatus <> 'P'").select("o_orderkey")
+
+
+def q5_referential_integrity(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(_parents(spark, d), F.col("l_orderkey") == F.col("o_orderkey"), "left_anti")
+
+
+def q5_valid_keys(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(_parents(spark, d), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
+
+
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    orders = read(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")
+    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_extendedprice", "l_discount").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+
+
+def q7_date_order_rule(spark: SparkSession, d: str) -> DataFrame:
+    return _lines(spark, d).where("l_shipdate < o_orderdate").select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+def q8_amount_rule(spark: SparkSession, d: str) -> DataFrame:
+    return _lines(spark, d).where("l_extendedprice * (1 - l_discount) > o_totalprice").select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+def q9_code_set_rule(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "orders").where(~F.upper("o_orderstatus").isin(["O", "F"])).select("o_orderkey", "o_orderstatus")
+
+
+def q6_rule_registry(spark: SparkSession, d: str) -> DataFrame:
+    rules = [
+        dq.declared_rule({"rule_id": "STATUS_KNOWN", "table": "ORDER", "predicate_sql": "upper(o_orderstatus) IN ('O', 'F')", "when_columns": ["o_orderstatus"], "message": "unknown status"}),
+        dq.declared_rule({"rule_id": "PRICE_BOUND", "table": "ORDER", "predicate_sql": "o_totalprice <= 200000", "when_columns": ["o_totalprice"], "message": "too large"}),
+        dq.declared_rule({"rule_id": "ABSENT", "table": "ORDER", "predicate_sql": "no_such_column > 0", "when_columns": ["no_such_column"]}),
+    ]
+    rows = read(spark, d, "orders").withColumn("Source_Filename", F.lit("orders")).withColumn("Source_Row_Index", F.col("o_orderkey"))
+    found = dq.rule_faults(rows, "ORDER", rules, [""])
+    return found.groupBy(F.regexp_extract("Reason", r"^\[(\w+)\]", 1).alias("rule_id")).agg(F.count("*").alias("violations"))
+
+
+def exception_histogram(spark: SparkSession, d: str) -> DataFrame:
+    """The flagship: all kinds of check over orders and lineitem, counted by exception type."""
+    kinds = [
+        (q1_mandatory_null(spark, d), "MANDATORY_NULL"),
+        (q2_type_mismatch(spark, d), "TYPE_MISMATCH"),
+        (dq.duplicate_rows(read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), ["l_orderkey", "l_linenumber"], ["l_partkey"]), "DUPLICATE_KEY"),
+        (q5_referential_integrity(spark, d), "REFERENTIAL_INTEGRITY_FAIL"),
+        (q7_date_order_rule(spark, d), "BUSINESS_RULE_FAIL"),
+        (q9_code_set_rule(spark, d), "BUSINESS_RULE_FAIL"),
+    ]
+    # each part is counted where it is found; only counts meet
+    parts = [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("Exception_Type"), "n") for df, k in kinds]
+    return dq.union_all(spark, parts).groupBy("Exception_Type").agg(F.sum("n").alias("n"))
+
+
+def a4_exception_tiers(spark: SparkSession, d: str) -> DataFrame:
+    return report.tiers(exception_histogram(spark, d))
+
+
+def p3_canonical_customer(spark: SparkSession, d: str) -> DataFrame:
+    columns = {"c_custkey": [("CUSTOMER", "Account_Number", 100)], "c_name": [("CUSTOMER", "Company_Name", 100)], "c_mktsegment": [("CUSTOMER", "Segment", 91)]}
+    source = read(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("c_custkey"), F.concat(F.lit("  "), "c_name", F.lit("\t")).alias("c_name"), "c_mktsegment", F.col("c_custkey").alias("Source_Row_Index"))
+    return project.project_table(source, "CUSTOMER", ["Account_Number", "Company_Name", "Segment", "City"], columns, project.Origin("customer", "parquet", JOB, "MAP-1", "C-1"), stamp=None)
+
+
+def p3_canonical_invoice(spark: SparkSession, d: str) -> DataFrame:
+    columns = {"o_orderkey": [("INVOICE", "Invoice_Number", 100)], "o_custkey": [("INVOICE", "Account_Number", 100)], "o_orderstatus": [("INVOICE", "Invoice_Type", 80)]}
+    source = read(spark, d, "orders").select(*[F.col(c).cast("string").alias(c) for c in columns], F.col("o_orderkey").alias("Source_Row_Index"))
+    return project.project_table(source, "INVOICE", ["Account_Number", "Invoice_Number", "Invoice_Type", "Currency"], columns, project.Origin("orders", "parquet", JOB, "MAP-2", "C-1"), stamp=None)
+
+
+def p1_normalise_header(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "part").select(F.col("p_type").alias("name"), normalise_header_column(F.concat(F.lit(" #"), "p_type", F.lit(".No- 1_ "))).alias("normal")).distinct()
+
+
+def _mapped(spark: SparkSession, d: str) -> DataFrame:
+    """Names of types and nations looked up among aliases of fixed number."""
+    names = read(spark, d, "part").select(normalise_header_column(F.col("p_type")).alias("name")).union(read(spark, d, "nation").select(normalise_header_column(F.col("n_name")))).distinct()
+    return names.join(F.broadcast(spark.createDataFrame(ALIASES, "name string, canonical_table string, canonical_column string")), "name", "left")
+
+
+def m2_exact_lookup(spark: SparkSession, d: str) -> DataFrame:
+    return _mapped(spark, d)
+
+
+def p5_active_tables(spark: SparkSession, d: str) -> DataFrame:
+    return _mapped(spark, d).where("canonical_table IS NOT NULL").groupBy("canonical_table").agg(F.count("*").alias("n")).where("n >= 2")
+
+
+def m3_fuzzy_match(spark: SparkSession, d: str) -> DataFrame:
+    """Best alias of each nation's name; names and aliases are metadata, each a few dozen."""
+    names = read(spark, d, "nation").select(normalise_header_column(F.col("n_name")).alias("name"))
+    aliases = spark.createDataFrame([(k, a, t, c) for k, (a, t, c) in enumerate(ALIASES)], "place int, alias string, canonical_table string, canonical_column string")
+    listed = aliases.agg(F.collect_list(F.struct("place", "alias", "canonical_table", "canonical_column")).alias("aliases"))
+    pairs = names.join(F.broadcast(listed), F.lit(True)).select("name", F.explode("aliases").alias("a"))
+    scored = pairs.withColumn("score", similarity(F.col("name"), F.col("a.alias")))
+    best = scored.groupBy("name").agg(F.max_by(F.struct("a", "score"), F.struct("score", -F.col("a.place"))).alias("best"))
+    return best.where("best.score >= 0.7").select("name", "best.a.alias", "best.a.canonical_table", "best.a.canonical_column", F.floor(F.col("best.score") * 91).cast("int").alias("confidence"))
+
+
+def m8_alias_context(spark: SparkSession, d: str) -> DataFrame:
+    suppliers = read(spark, d, "supplier").join(read(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return suppliers.groupBy("n_name").agg(F.array_join(F.array_sort(F.collect_list("s_name")), ", ").alias("names"))
+
+
+_HEADER = F.array(F.lit(" Order Key"), F.concat("o_orderstatus", F.lit(" Col")), F.col("o_orderpriority"), F.lit("Total"))
+
+
+def f1_fingerprint(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "orders").select("o_orderstatus", "o_orderpriority").distinct().select("o_orderstatus", "o_orderpriority", fingerprint(_HEADER).alias("fingerprint"))
+
+
+def f3_jaccard(spark: SparkSession, d: str) -> DataFrame:
+    saved = F.array(*map(F.lit, ["order key", "o col", "5-low", "total", "extra"]))
+    names = F.transform(_HEADER, lambda x: F.lower(F.trim(x)))
+    return read(spark, d, "orders").select("o_orderstatus", "o_orderpriority").distinct().select("o_orderstatus", "o_orderpriority", F.round(jaccard(names, saved), 3).alias("overlap"))
+
+
+def u1_union_tables(spark: SparkSession, d: str) -> DataFrame:
+    customers = read(spark, d, "customer").select(F.col("c_custkey").alias("party_key"), F.col("c_name").alias("party_name"), F.col("c_mktsegment").alias("segment"))
+    suppliers = read(spark, d, "supplier").select(F.col("s_suppkey").alias("party_key"), F.col("s_name").alias("party_name"))
+    return customers.unionByName(suppliers, allowMissingColumns=True)
+
+
+def u6_limit_exceptions(spark: SparkSession, d: str) -> DataFrame:
+    return q1_mandatory_null(spark, d).orderBy("orderkey", "raw_value").limit(200)
+
+
+def a6_mapping_method_counts(spark: SparkSession, d: str) -> DataFrame:
+    method = F.when(F.col("canonical_table").isNull(), "NO MATCH").otherwise("EXACT LOOKUP")
+    return _mapped(spark, d).groupBy(method.alias("match_method")).agg(F.count("*").alias("n"))
+
+
+def a7_job_summary(spark: SparkSession, d: str) -> DataFrame:
+    found = exception_histogram(spark, d).agg(F.sum("n").alias("total_exceptions"), F.sum(F.when(report.tier(F.col("Exception_Type")) == "Blocking", F.col("n")).otherwise(0)).alias("exceptions_blocking"))
+    rows = read(spark, d, "orders").agg(F.count("*").alias("total_source_rows"))
+    status = F.when(F.col("total_exceptions") > 0, "SUCCESS_WITH_EXCEPTIONS").otherwise("SUCCESS")
+    return rows.join(F.broadcast(found), F.lit(True)).withColumn("job_status", status)
+
+
+def s6_json_scan(spark: SparkSession, d: str) -> DataFrame:
+    events = read(spark, d, "events")
+    return events.select("event_id", to_number(F.get_json_object("props", "$.k"), [""]).alias("k"))
+
+
+def s15_text_normalise(spark: SparkSession, d: str) -> DataFrame:
+    text = F.concat(F.lit("\u0001  "), "text", F.lit("  \t \u0007"))
+    return read(spark, d, "documents").select("doc_id", clean_text(text).alias("cleaned")).select("doc_id", F.length("cleaned").cast("long").alias("n_chars_clean"), F.md5("cleaned").alias("digest"))
+
+
+def s15_nfkc(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "documents").select("doc_id", F.md5(nfkc(F.col("text"))).alias("digest"))
+
+
+def s8_html_scan(spark: SparkSession, d: str) -> DataFrame:
+    html = F.col("html")
+    return read(spark, d, "pages").select("page_id", F.regexp_extract(html, "<title>([^<]*)</title>", 1).alias("title"), F.size(F.regexp_extract_all(html, F.lit('<a href="([^"]*)"'), F.lit(1))).cast("long").alias("n_links"))
+
+
+def x_doc_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("text_sha"))
+    return dq.duplicate_rows(docs, ["text_sha"], ["doc_id"])
+
+
+_ALL = (q1_mandatory_null, q1_null_counts, a1_fill_rate, a3_merge_fill, q2_numeric_coerce, q2_type_mismatch, q3_date_coerce, q4_duplicate_key, q5_referential_integrity, q5_valid_keys, q7_date_order_rule, q8_amount_rule, q9_code_set_rule, q6_rule_registry, a4_exception_tiers, p3_canonical_customer, p3_canonical_invoice, p1_normalise_header, p5_active_tables, m2_exact_lookup, m3_fuzzy_match, m8_alias_context, f1_fingerprint, f3_jaccard, u1_union_tables, u6_limit_exceptions, a6_mapping_method_counts, a7_job_summary, s6_json_scan, s15_text_normalise, s15_nfkc, s8_html_scan, x_doc_duplicates)
+QUERIES = {f.__name__: f for f in _ALL} | {"a2_exception_histogram": exception_histogram}
+
+_NULL = "trim({c}) IN ('', '4-NOT SPECIFIED')"
+_COUNTS = " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS total_rows, count(*) FILTER ({_NULL.format(c=f'CAST({c} AS VARCHAR)')}) AS null_count FROM orders" for c in ("o_orderstatus", "o_orderpriority", "o_totalprice"))
+_FILL = "round((total_rows - null_count) * 100.0 / total_rows, 1)"
+_STATUS = "CASE WHEN {r} >= 95 THEN 'PASS' WHEN {r} >= 70 THEN 'WARN' ELSE 'FAIL' END"
+_RAW = "CASE WHEN o_orderkey % 7 = 0 THEN 'n/k' WHEN o_orderkey % 5 = 0 THEN ' € ' || CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) ELSE '$' || CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) || ',000' END"
+_DAY = "CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%d/%m/%Y') WHEN 1 THEN strftime(o_orderdate, '%d-%b-%Y') ELSE strftime(o_orderdate, '%Y%m%d') END"
+_NORMAL = "trim(regexp_replace(regexp_replace(translate(lower(trim({c})), ' -.', '___'), '[^a-z0-9_]', '', 'g'), '_+', '_', 'g'), '_')"
+_ALIAS = ", ".join(f"('{a}', '{t}', '{c}')" for a, t, c in ALIASES)
+_MAPPED = f"SELECT name, canonical_table, canonical_column FROM (SELECT DISTINCT {_NORMAL.format(c='p_type')} AS name FROM part UNION SELECT {_NORMAL.format(c='n_name')} FROM nation) LEFT JOIN (VALUES {_ALIAS}) a(name, canonical_table, canonical_column) USING (name)"
+_NULL_ROWS = f"SELECT o_orderkey AS orderkey, 'o_orderpriority' AS source_column, 'Priority' AS canonical_column, o_orderpriority AS raw_value, 'MANDATORY_NULL' AS exception_type, 'Priority is mandatory and is null in this record' AS reason FROM orders WHERE {_NULL.format(c='o_orderpriority')}"
+_ANTI = "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE {n}EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderstatus <> 'P')"
+_JOINED = "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE "
+_HIST = f"""SELECT Exception_Type, CAST(sum(n) AS BIGINT) AS n FROM (
+SELECT 'MANDATORY_NULL' AS Exception_Type, count(*) AS n FROM orders WHERE {_NULL.format(c='o_orderpriority')}
+UNION ALL SELECT 'TYPE_MISMATCH', count(*) FROM orders WHERE o_orderkey % 7 = 0
+UNION ALL SELECT 'DUPLICATE_KEY', coalesce(sum(n - 1), 0) FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber)
+UNION ALL SELECT 'REFERENTIAL_INTEGRITY_FAIL', count(*) FROM ({_ANTI.format(n='NOT ')})
+UNION ALL SELECT 'BUSINESS_RULE_FAIL', count(*) FROM ({_JOINED} l_shipdate < o_orderdate)
+UNION ALL SELECT 'BUSINESS_RULE_FAIL', count(*) FROM orders WHERE upper(o_orderstatus) NOT IN ('O', 'F')) GROUP BY 1"""
+_TIER = "CASE WHEN Exception_Type = 'MANDATORY_NULL' THEN 'Blocking' ELSE 'DataQuality' END"
+_LINEAGE = "'{f}' AS Source_Filename, CAST({k} AS BIGINT) AS Source_Row_Index, 'C-1' AS Source_Contributor_ID, 'parquet' AS Source_File_Format, '{m}' AS Mapping_Reference_ID, 'ACTIVE' AS Record_Status, 1 AS Record_Version, 'JOB-1' AS Inserted_By_Job, 'JOB-1' AS Last_Modified_By_Job, 'DataIngestionPOC-1.0' AS Processing_System"
+_NAMES = "[' order key', lower(o_orderstatus) || ' col', lower(o_orderpriority), 'total']"
+_PAIRS = "(SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders)"
+
+ORACLE = {
+    "q1_mandatory_null": _NULL_ROWS,
+    "q1_null_counts": _COUNTS,
+    "a1_fill_rate": f"SELECT *, CAST({_FILL} AS DOUBLE) AS fill_rate, {_STATUS.format(r=_FILL)} AS status FROM ({_COUNTS})",
+    "a3_merge_fill": f"SELECT *, CAST({_FILL} AS DOUBLE) AS fill_rate, {_STATUS.format(r=_FILL)} AS status FROM ({_COUNTS}) WHERE column_name <> 'o_orderstatus'",
+    "q2_numeric_coerce": f"SELECT o_orderkey, raw, TRY_CAST(regexp_replace(raw, '[$£€¥, ]', '', 'g') AS DOUBLE) AS amount FROM (SELECT o_orderkey, {_RAW} AS raw FROM orders)",
+    "q2_type_mismatch": "SELECT o_orderkey AS orderkey, 'n/k' AS raw_value, 'TYPE_MISMATCH' AS exception_type, 'Amount expects numeric but got ''n/k''' AS reason FROM orders WHERE o_orderkey % 7 = 0",
+    "q3_date_coerce": f"SELECT o_orderkey, raw, strftime(try_strptime(raw, ['%d/%m/%Y', '%d-%b-%Y', '%Y%m%d']), '%Y-%m-%d') AS day FROM (SELECT o_orderkey, {_DAY} AS raw FROM orders)",
+    "q4_duplicate_key": "SELECT l_orderkey, l_linenumber, count(*) - 1 AS extra_rows FROM lineitem GROUP BY ALL HAVING count(*) > 1",
+    "q5_referential_integrity": _ANTI.format(n="NOT "),
+    "q5_valid_keys": _ANTI.format(n=""),
+    "q7_date_order_rule": _JOINED + "l_shipdate < o_orderdate",
+    "q8_amount_rule": _JOINED + "l_extendedprice * (1 - l_discount) > o_totalprice",
+    "q9_code_set_rule": "SELECT o_orderkey, o_orderstatus FROM orders WHERE upper(o_orderstatus) NOT IN ('O', 'F')",
+    "q6_rule_registry": "SELECT 'STATUS_KNOWN' AS rule_id, count(*) AS violations FROM orders WHERE upper(o_orderstatus) NOT IN ('O', 'F') HAVING count(*) > 0 UNION ALL SELECT 'PRICE_BOUND', count(*) FROM orders WHERE o_totalprice > 200000 HAVING count(*) > 0",
+    "a2_exception_histogram": _HIST,
+    "a4_exception_tiers": f"SELECT {_TIER} AS tier, CAST(sum(n) AS BIGINT) AS n FROM ({_HIST}) GROUP BY 1",
+    "p3_canonical_customer": f"SELECT CAST(c_custkey AS VARCHAR) AS Account_Number, trim(c_name) AS Company_Name, trim(c_mktsegment) AS Segment, CAST(NULL AS VARCHAR) AS City, {_LINEAGE.format(f='customer', k='c_custkey', m='MAP-1')} FROM customer",
+    "p3_canonical_invoice": f"SELECT CAST(o_custkey AS VARCHAR) AS Account_Number, CAST(o_orderkey AS VARCHAR) AS Invoice_Number, trim(o_orderstatus) AS Invoice_Type, CAST(NULL AS VARCHAR) AS Currency, {_LINEAGE.format(f='orders', k='o_orderkey', m='MAP-2')} FROM orders",
+    "p1_normalise_header": f"SELECT DISTINCT p_type AS name, {_NORMAL.format(c=chr(39) + ' #' + chr(39) + ' || p_type || ' + chr(39) + '.No- 1_ ' + chr(39))} AS normal FROM part",
+    "m2_exact_lookup": _MAPPED,
+    "p5_active_tables": f"SELECT canonical_table, count(*) AS n FROM ({_MAPPED}) WHERE canonical_table IS NOT NULL GROUP BY 1 HAVING count(*) >= 2",
+    "m8_alias_context": "SELECT n_name, string_agg(s_name, ', ' ORDER BY s_name) AS names FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1",
+    "f1_fingerprint": f"SELECT o_orderstatus, o_orderpriority, sha256(array_to_string(list_sort(list_transform({_NAMES}, lambda x: trim(x))), '|')) AS fingerprint FROM {_PAIRS}",
+    "f3_jaccard": f"SELECT o_orderstatus, o_orderpriority, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 3) AS overlap FROM (SELECT *, list_transform({_NAMES}, lambda x: trim(x)) AS a, ['order key', 'o col', '5-low', 'total', 'extra'] AS b FROM {_PAIRS})",
+    "u1_union_tables": "SELECT c_custkey AS party_key, c_name AS party_name, c_mktsegment AS segment FROM customer UNION ALL SELECT s_suppkey, s_name, NULL FROM supplier",
+    "u6_limit_exceptions": f"SELECT * FROM ({_NULL_ROWS}) ORDER BY orderkey, raw_value LIMIT 200",
+    "a6_mapping_method_counts": f"SELECT CASE WHEN canonical_table IS NULL THEN 'NO MATCH' ELSE 'EXACT LOOKUP' END AS match_method, count(*) AS n FROM ({_MAPPED}) GROUP BY 1",
+    "a7_job_summary": f"SELECT (SELECT count(*) FROM orders) AS total_source_rows, CAST(sum(n) AS BIGINT) AS total_exceptions, CAST(coalesce(sum(n) FILTER ({_TIER} = 'Blocking'), 0) AS BIGINT) AS exceptions_blocking, CASE WHEN sum(n) > 0 THEN 'SUCCESS_WITH_EXCEPTIONS' ELSE 'SUCCESS' END AS job_status FROM ({_HIST})",
+    "s6_json_scan": "SELECT event_id, TRY_CAST(props ->> '$.k' AS DOUBLE) AS k FROM events",
+    "s15_text_normalise": r"SELECT doc_id, CAST(length(cleaned) AS BIGINT) AS n_chars_clean, md5(cleaned) AS digest FROM (SELECT doc_id, regexp_replace(regexp_replace(chr(1) || '  ' || text || '  ' || chr(9) || ' ' || chr(7), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}]', '', 'g'), ' +', ' ', 'g') AS cleaned FROM documents)",
+    "s15_nfkc": "",
+    "s8_html_scan": "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, CAST(len(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS BIGINT) AS n_links FROM pages",
+    "x_doc_duplicates": "SELECT doc_id, text_sha FROM (SELECT doc_id, sha256(text) AS text_sha, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS n FROM documents) WHERE n > 1",
+}
+del ORACLE["s15_nfkc"]
