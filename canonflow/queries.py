@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import clean_text, fingerprint, jaccard, nfkc, normalise_header_column, similarity, to_date, to_number
@@ -40,15 +40,17 @@ def a3_merge_fill(spark: SparkSession, d: str) -> DataFrame:
     return report.merged_fill(report.null_counts(files, ["o_orderpriority", "o_totalprice"], TOKENS, ["file"]), ["column_name"])
 
 
-_AMOUNT = F.when(F.col("o_orderkey") % 7 == 0, F.lit("n/k")).when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit(" € "), F.floor("o_totalprice").cast("string"))).otherwise(F.concat(F.lit("$"), F.floor("o_totalprice").cast("string"), F.lit(",000")))
+def _amount() -> Column:
+    """Prices as text: with currency signs and thousands, and some that are no numbers."""
+    return F.when(F.col("o_orderkey") % 7 == 0, F.lit("n/k")).when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit(" € "), F.floor("o_totalprice").cast("string"))).otherwise(F.concat(F.lit("$"), F.floor("o_totalprice").cast("string"), F.lit(",000")))
 
 
 def q2_numeric_coerce(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "orders").select("o_orderkey", _AMOUNT.alias("raw")).select("o_orderkey", "raw", to_number(F.col("raw"), TOKENS).alias("amount"))
+    return read(spark, d, "orders").select("o_orderkey", _amount().alias("raw")).select("o_orderkey", "raw", to_number(F.col("raw"), TOKENS).alias("amount"))
 
 
 def q2_type_mismatch(spark: SparkSession, d: str) -> DataFrame:
-    rows = read(spark, d, "orders").select(F.lit("orders").alias("Source_Filename"), F.col("o_orderkey").alias("Source_Row_Index"), _AMOUNT.alias("Amount"))
+    rows = read(spark, d, "orders").select(F.lit("orders").alias("Source_Filename"), F.col("o_orderkey").alias("Source_Row_Index"), _amount().alias("Amount"))
     found = dq.cell_faults(rows, dq.Checks("ORDER", {"Amount": "numeric"}, tokens=TOKENS))
     return found.select(F.col("Source_Row_Index").alias("orderkey"), F.col("Raw_Value").alias("raw_value"), F.col("Exception_Type").alias("exception_type"), F.col("Reason").alias("reason"))
 
@@ -169,16 +171,17 @@ def m8_alias_context(spark: SparkSession, d: str) -> DataFrame:
     return suppliers.groupBy("n_name").agg(F.array_join(F.array_sort(F.collect_list("s_name")), ", ").alias("names"))
 
 
-_HEADER = F.array(F.lit(" Order Key"), F.concat("o_orderstatus", F.lit(" Col")), F.col("o_orderpriority"), F.lit("Total"))
+def _header() -> Column:
+    return F.array(F.lit(" Order Key"), F.concat("o_orderstatus", F.lit(" Col")), F.col("o_orderpriority"), F.lit("Total"))
 
 
 def f1_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "orders").select("o_orderstatus", "o_orderpriority").distinct().select("o_orderstatus", "o_orderpriority", fingerprint(_HEADER).alias("fingerprint"))
+    return read(spark, d, "orders").select("o_orderstatus", "o_orderpriority").distinct().select("o_orderstatus", "o_orderpriority", fingerprint(_header()).alias("fingerprint"))
 
 
 def f3_jaccard(spark: SparkSession, d: str) -> DataFrame:
     saved = F.array(*map(F.lit, ["order key", "o col", "5-low", "total", "extra"]))
-    names = F.transform(_HEADER, lambda x: F.lower(F.trim(x)))
+    names = F.transform(_header(), lambda x: F.lower(F.trim(x)))
     return read(spark, d, "orders").select("o_orderstatus", "o_orderpriority").distinct().select("o_orderstatus", "o_orderpriority", F.round(jaccard(names, saved), 3).alias("overlap"))
 
 

@@ -21,7 +21,9 @@ from ..operators.project import with_row_index
 from . import files
 from .files import EncodingProblem, InputFile, UnsupportedFile
 
-SPARK_ENCODINGS = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "utf-16": "UTF-16", "cp1252": "windows-1252", "latin-1": "ISO-8859-1"}
+SPARK_ENCODINGS = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "utf-16": "UTF-16", "cp1252": "ISO-8859-1", "latin-1": "ISO-8859-1"}
+#: Spark has no cp1252: it is Latin-1 but for these characters.
+C1 = [bytes([b]) for b in range(0x80, 0xA0) if bytes([b]).decode("cp1252", "ignore")]
 INDEX = "Source_Row_Index"
 
 
@@ -71,7 +73,8 @@ def scan_delimited(spark: SparkSession, file: InputFile, kind: str, multi_line:
     reader = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("sep", delimiter).option("encoding", SPARK_ENCODINGS[encoding]).option("quote", '"').option("escape", '"').option("multiLine", multi_line).option("maxCharsPerColumn", -1)
     rows = reader.csv(file.path)
     extra = f"_{len(header)}"
-    named = indexed(rows.where(F.col(extra).isNull())).select(*[F.coalesce(F.col(f"_{k}"), F.lit("")).alias(h) for k, h in enumerate(header)], INDEX)
+    value = lambda k: F.translate(f"_{k}", b"".join(C1).decode("latin-1"), b"".join(C1).decode("cp1252")) if encoding == "cp1252" else F.col(f"_{k}")
+    named = indexed(rows.where(F.col(extra).isNull())).select(*[F.coalesce(value(k), F.lit("")).alias(h) for k, h in enumerate(header)], INDEX)
     dropped = rows.where(F.col(extra).isNotNull()).select(F.concat_ws(delimiter, *[f"_{k}" for k in range(len(header) + 1)]).alias("raw"))
     return ParsedFile(file, files.LABELS.get(delimiter, kind), header, normalised(named, header, compose), encoding, dropped)
 

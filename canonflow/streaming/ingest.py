@@ -11,7 +11,7 @@ from ..job import run_job
 
 def ingest_folder(spark: SparkSession, folder: str, config: DomainConfig, output_dir: str, checkpoint: str, once: bool = False, **options) -> StreamingQuery:
     """A query over a folder's new files; each micro-batch is one job. The checkpoint remembers the files that are done; a batch that runs again writes another job folder."""
-    found = spark.readStream.format("binaryFile").option("pathGlobFilter", "*.*").load(folder).select("path")
+    found = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.*").load(folder).select("path")
 
     def batch(df: DataFrame, number: int) -> None:
         paths = [r.path for r in df.select("path").collect()]  # the names of one batch's files
