@@ -48,7 +48,8 @@ def is_dropped(node: Node) -> bool:
     if "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in ROLES or "display:none" in a.get("style", "").replace(" ", "").lower():
         return True
     names = names_of(node)
-    return bool(names & UNLIKELY) and not names & LIKELY or bool(names & {"comment", "comments", "ad", "ads", "advert", "sidebar", "cookie"})
+    last = {WORDS.findall(x)[-1] for x in names if WORDS.search(x) and ("-" in x or "_" in x)}  # page-footer is a footer, not a page
+    return bool(names & UNLIKELY) and not names & LIKELY or bool(last & UNLIKELY) or bool(names & {"comment", "comments", "ad", "ads", "advert", "sidebar", "cookie"})
 
 
 def main_text(html: str | None) -> str:

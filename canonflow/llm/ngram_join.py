@@ -371,8 +371,8 @@ def _across(hot: DataFrame, labels: DataFrame, sets: DataFrame, counts: np.ndarr
 
 
 def keep_one(documents: DataFrame, joined: DataFrame) -> DataFrame:
-    """The rows of `documents` (doc_id, text, ...) whose doc_id is the smallest of its component; of rows that repeat such a doc_id, one. Rows without a doc_id stay, since no other row can be told to stand for them."""
+    """The rows of `documents` (doc_id, text, ...) whose doc_id is the smallest of its component; of rows that repeat such a doc_id and its text, one. Rows without a doc_id stay, since no other row can be told to stand for them."""
     chosen = joined.where("component_id IS NOT NULL").select(F.col("component_id").alias("doc_id")).distinct()
-    once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    once = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
     kept = documents.join(chosen, "doc_id", "left_semi").withColumn("__place", F.row_number().over(once)).where("__place = 1").drop("__place")
     return kept.unionByName(documents.where("doc_id IS NULL"))
