@@ -18,7 +18,7 @@ import pyarrow as pa
 #: White space of `[^\x20\x09-\x0D]+`.
 SPACES = [0x20, *range(0x09, 0x0E)]
 #: Text bytes that are scanned at once; a longer text is scanned alone.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
