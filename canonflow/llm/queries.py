@@ -50,7 +50,7 @@ def count_tokens(documents: DataFrame, word_path: str, byte_path: str) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        words, raw = tokens.word_tokenizer(word_path), tokens.TiktokenCounter(byte_path, public_tokenizers.PATTERN)
+        words, raw = tokens.word_tokenizer(word_path), tokens.byte_counter(byte_path, public_tokenizers.PATTERN)
         for batch in batches:
             for at, to, _, first in words.chunks(batch.column(4)):
                 part = batch.slice(at, to - at)

@@ -13,9 +13,9 @@ import pyarrow.compute as pc
 from .words import shards
 
 #: Text bytes whose different words are encoded together.
-CHUNK_BYTES = 8 << 20
-#: Words whose ids a worker remembers, for all its tasks; beyond these, words are encoded anew. It bounds memory (about 60 MB), and has no part in results.
-REMEMBERED = 1_000_000
+CHUNK_BYTES = 4 << 20
+#: Words whose ids a worker remembers, for all its tasks; beyond these, words are encoded anew. It bounds memory (about 20 MB), and has no part in results.
+REMEMBERED = 300_000
 #: Words of two parts that are encoded apart: Latin letters, and ASCII punctuation without apostrophes, which can begin an ending ('s).
 PLAIN = "^(?P<stem>[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)(?P<tail>[!-&(-/:-@\\[-`{-~]*)$"
 #: A word of its own, put between others; it has one token in the vocabularies used.
@@ -130,3 +130,9 @@ class TiktokenCounter:
 
     def count(self, texts: pa.Array) -> np.ndarray:
         return np.fromiter((0 if (t := x.as_py()) is None else len(self.encoding.encode_ordinary(t)) for x in texts), np.int64, len(texts))
+
+
+@functools.cache
+def byte_counter(path: str, pattern: str) -> TiktokenCounter:
+    """One for all tasks of a worker: each holds the vocabulary and a pattern per thread."""
+    return TiktokenCounter(path, pattern)
