@@ -47,7 +47,8 @@ def shard_documents(documents: DataFrame, shards: int = 24, rounds: int = 3, id_
     text = F.coalesce(documents[text_column].cast("string"), F.lit(""))
     docs = documents.select(documents[id_column].cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("crc"), F.xxhash64(text).alias("g"), F.xxhash64(F.lit(7), text).alias("g2"))
     docs = keep(docs.select("doc_id", "size", "crc", F.struct("g", "g2", "size", "crc").alias("g")), "rows")
-    groups = docs.groupBy("g").agg(F.count("*").alias("n"), F.sum("size").alias("group_bytes"))
+    # written alone, so that joins with it can split a hot group's rows
+    groups = keep(docs.groupBy("g").agg(F.count("*").alias("n"), F.sum("size").alias("group_bytes")), "groups")
     total = groups.agg(F.sum("group_bytes")).first()[0] or 0
     part = -(-total // shards)
     linked = groups.where("n > 1").select("g", "group_bytes")
