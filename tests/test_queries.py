@@ -46,3 +46,26 @@ def test_plans_push_down(spark, sf_dir):
     assert "ReadSchema: struct<o_orderkey:bigint,o_orderstatus:string>" in plan and "PushedFilters" in plan
     plan = QUERIES["q1_null_counts"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Scan parquet") <= 2  # the adaptive plan shows it before and after
+
+
+def test_fuzzy_by_force(spark, sf_dir):
+    from canonflow.functions.text import normalise_header
+    from canonflow.plans.mapping import best_alias
+    from canonflow.queries import ALIASES
+
+    aliases = {a: (t, c) for a, t, c in ALIASES}
+    want = {}
+    for r in spark.read.parquet(f"{sf_dir}/nation.parquet").collect():
+        name = normalise_header(r.n_name)
+        alias, score = best_alias(name, aliases)
+        if score >= 0.7:
+            want[name] = (alias, *aliases[alias], int(score * 91))
+    assert {r.name: tuple(r)[1:] for r in QUERIES["m3_fuzzy_match"](spark, sf_dir).collect()} == want
+
+
+def test_nfkc_by_force(spark, sf_dir):
+    import hashlib
+    import unicodedata
+
+    want = {r.doc_id: hashlib.md5(unicodedata.normalize("NFKC", r.text).encode()).hexdigest() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    assert {r.doc_id: r.digest for r in QUERIES["s15_nfkc"](spark, sf_dir).collect()} == want
