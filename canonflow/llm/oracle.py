@@ -10,17 +10,17 @@ OP2 = rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
 win AS (
-    SELECT DISTINCT item, least(13, len(w)) AS n, array_to_string(w[i : i + least(13, len(w)) - 1], ' ') AS s
+    SELECT item, i AS j, least(13, len(w)) AS n, array_to_string(w[i : i + least(13, len(w)) - 1], ' ') AS s
     FROM (SELECT item, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)
 ),
 pos AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
 places AS (SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS s FROM pos, (SELECT DISTINCT n FROM win) WHERE i + n - 1 <= len(w)),
-met AS (SELECT places.doc_id, places.i, places.n, win.item FROM places JOIN win USING (n, s)),
+met AS (SELECT places.doc_id, places.i, places.n, win.item, win.j FROM places JOIN win USING (n, s)),
 hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS p FROM met) GROUP BY 1),
 items AS (SELECT doc_id, count(DISTINCT item) AS n_items, sha256(string_agg(DISTINCT item, ',' ORDER BY item)) AS h FROM met GROUP BY 1),
-runs AS (SELECT doc_id, item, i, n, i - row_number() OVER (PARTITION BY doc_id, item ORDER BY i) AS g FROM (SELECT DISTINCT doc_id, item, i, n FROM met)),
+runs AS (SELECT doc_id, item, n, i - j AS d, i - row_number() OVER (PARTITION BY doc_id, item, i - j ORDER BY i) AS g FROM (SELECT DISTINCT doc_id, item, i, j, n FROM met)),
 base AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(h, sha256('')) AS items_sha256 FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)),
-longest AS (SELECT doc_id, CAST(max(m) AS BIGINT) AS longest_match FROM (SELECT doc_id, count(*) + any_value(n) - 1 AS m FROM runs GROUP BY doc_id, item, g) GROUP BY 1)
+longest AS (SELECT doc_id, CAST(max(m) AS BIGINT) AS longest_match FROM (SELECT doc_id, count(*) + any_value(n) - 1 AS m FROM runs GROUP BY doc_id, item, d, g) GROUP BY 1)
 SELECT base.*, n_hit > 0 AND 20 * n_hit >= n_words AS contaminated, coalesce(longest_match, 0) AS longest_match FROM base LEFT JOIN longest USING (doc_id)
 """
 

@@ -31,6 +31,24 @@ def test_words(table, pattern, low, most):
             assert got == pattern.findall(lower(texts[at + i]) if low else texts[at + i] or "")
 
 
+def test_longest_match_in_sql(spark, tmp_path):
+    """Windows that follow each other in a document, but not in the item, are no longer match."""
+    import duckdb
+
+    from canonflow.llm import oracle
+    from canonflow.llm.queries import op2_decontamination
+
+    ha = " ".join(["ha"] * 16)
+    spark.createDataFrame([(1, f"{ha} {ha} ha"), (2, f"so {ha} end"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, ha)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = [tuple(r) for r in op2_decontamination(spark, str(tmp_path)).orderBy("doc_id").collect()]
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert got == con.execute(f"SELECT * FROM ({oracle.OP2}) ORDER BY doc_id").fetchall()
+    assert [r[-1] for r in got] == [16, 16, 0]
+
+
 # n-gram join
 
 
@@ -332,3 +350,11 @@ def test_sharding_edges(frame):
     assert sharding.shard_documents(frame([])).collect() == []
     texts = [*HARD, "x", None, "x"]
     check_shards(sharding.shard_documents(frame(texts, ids=[None, None, *range(len(texts) - 4), 5, 5], shard="s"), 4).collect(), texts, 4)
+
+
+def test_line_words():
+    rules = quality.LineRules()
+    assert quality.line_fault("a\xa0b\xa0c\xa0d\xa0e", rules) == "punctuation"  # one word: only ASCII white space separates
+    assert quality.line_fault("five words lie in here", rules) is None
+    assert quality.line_fault("the end.\x1c", rules) == "punctuation"
+    assert quality.line_fault("the end.\x0b ", rules) is None
