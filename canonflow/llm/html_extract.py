@@ -3,9 +3,11 @@
 Paragraphs pass points (one, one for each comma, up to three for length) to
 their parent, and half of them to its parent; an element's points are
 discounted by the share of its text that is link text.  The element with most
-points is the content; its siblings are kept if they have a good part of its
-points, or are headings or paragraphs of prose.  Menus, headers, footers,
-sidebars, notices, adverts, forms and comments never score nor stay.
+points is the content, or the article element around it.  Its siblings are
+kept if they have a good part of its points, or are headings or paragraphs of
+prose; where no article element tells its bounds, so are siblings with prose
+of its ancestors.  Menus, headers, footers, sidebars, notices, adverts, forms
+and comments never score nor stay; titles in an article's own header do.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from .batches import with_columns
 from .html_tree import Node, read_page
 
 # What isn't the article, by element, role, and words of class and id.
-DROPPED = frozenset("head nav header footer aside form button select dialog menu fieldset search option".split())
+DROPPED = frozenset("head nav header footer aside form button select dialog menu fieldset search option label".split())
 ROLES = frozenset("navigation banner complementary contentinfo search dialog alertdialog alert menu menubar toolbar form".split())
 UNLIKELY = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs sidebar side footer foot header masthead topbar "
@@ -30,26 +32,52 @@ UNLIKELY = frozenset(
 LIKELY = frozenset("article content post entry body main story text page".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PROSE = frozenset("p pre blockquote td".split())
+LISTS = frozenset("ul ol dl table figure".split())
+#: Words of class and id that drop an article element, too.
+NEVER = frozenset("comment comments ad ads advert adverts advertisement sidebar cookie sponsored".split())
+#: A name with one of these tells what is elsewhere on the page (has-sidebar).
+ABOUT = frozenset("has with no without".split())
 WORDS = re.compile(r"[a-z]+|\d+")
 
 
-def names_of(node: Node) -> set[str]:
+def names_of(node: Node) -> list[list[str]]:
+    """The words of each name in class and id, without names that speak of other elements."""
     value = f"{node.attributes.get('class', '')} {node.attributes.get('id', '')}"
-    parts = set(value.lower().split())
-    return parts | set(WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
+    names = [WORDS.findall(x) for x in re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower().split()]
+    return [x for x in names if x and not ABOUT.intersection(x)]
 
 
 def is_dropped(node: Node) -> bool:
     if node.name in DROPPED:
         return True
-    if not node.attributes or node.name in ("html", "body", "article", "main"):
+    if not node.attributes or node.name in ("html", "body", "main"):
         return False
     a = node.attributes
     if "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in ROLES or "display:none" in a.get("style", "").replace(" ", "").lower():
         return True
     names = names_of(node)
-    last = {WORDS.findall(x)[-1] for x in names if WORDS.search(x) and ("-" in x or "_" in x)}  # page-footer is a footer, not a page
-    return bool(names & UNLIKELY) and not names & LIKELY or bool(last & UNLIKELY) or bool(names & {"comment", "comments", "ad", "ads", "advert", "sidebar", "cookie"})
+    if any(NEVER.intersection(x) for x in names):
+        return True
+    # page-footer is a footer, not a page; a post with the mark `related` is a post
+    return node.name != "article" and any(UNLIKELY.intersection(x) for x in names) and not any(LIKELY.issuperset(x) for x in names)
+
+
+def drops(nodes: list[Node]) -> list[bool]:
+    """For each node, whether it or one around it is dropped. An element around `main` stays whatever its names; headings stay in the header of an article."""
+    around, out = set(), [False] * len(nodes)
+    for node in nodes:
+        if node.name == "main":
+            at = node.up
+            while at >= 0 and at not in around:
+                around.add(at)
+                at = nodes[at].up
+    for i, node in enumerate(nodes):  # parents come first
+        up = node.up
+        if up < 0 or i in around:
+            continue
+        own_title = node.name in HEADINGS and nodes[up].name == "header" and nodes[nodes[up].up].name == "article" and not out[nodes[up].up]
+        out[i] = not own_title and (out[up] or is_dropped(node))
+    return out
 
 
 def main_text(html: str | None) -> str:
@@ -57,16 +85,16 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     page = read_page(html)
-    dropped = [False] * len(page.nodes)
-    for i, node in enumerate(page.nodes):  # parents come first
-        dropped[i] = node.up >= 0 and dropped[node.up] or is_dropped(node)
+    dropped = drops(page.nodes)
     blocks = [b for b in page.blocks if not dropped[b.node]]
     points, chars, links = ([0.0] * len(page.nodes) for _ in range(3))
+    prose = [False] * len(page.nodes)
     for b in blocks:
         node, at = page.nodes[b.node], b.node
         while at >= 0:
             chars[at] += len(b.text)
             links[at] += b.link_chars
+            prose[at] |= node.name in PROSE
             at = page.nodes[at].up
         if node.name in HEADINGS:
             continue
@@ -80,7 +108,7 @@ def main_text(html: str | None) -> str:
                 at = page.nodes[at].up
     scores = [p * (1 - links[i] / chars[i]) if chars[i] else 0.0 for i, p in enumerate(points)]
     for i, node in enumerate(page.nodes):
-        if scores[i] and (node.name in ("article", "main") or names_of(node) & LIKELY):
+        if scores[i] and (node.name in ("article", "main") or any(LIKELY.intersection(x) for x in names_of(node))):
             scores[i] *= 1.25
     best = max(range(len(scores)), key=lambda i: (scores[i], -i))
     if not scores[best]:
@@ -88,19 +116,29 @@ def main_text(html: str | None) -> str:
         if not inside:
             return ""
         best = inside[0]
-    kept = {best}
-    # a list or wrapper that wins stands for the article around it, if that holds little else
-    up = page.nodes[best].up
-    while up > 0 and page.nodes[best].name not in ("article", "main", "body") and (page.nodes[best].name in ("ul", "ol", "table", "tbody", "tr", "blockquote") or page.nodes[up].name in ("article", "main")):
-        best, up = up, page.nodes[up].up
-        kept = {best}
-    least = max(1.0, 0.2 * scores[best])
-    if up >= 0 and page.nodes[best].name != "body":
-        for i, node in enumerate(page.nodes):
-            if node.up == up and i != best and not dropped[i] and chars[i]:
-                density = links[i] / chars[i]
-                if scores[i] >= least or node.name in HEADINGS and i < best or node.name in PROSE and density < 0.25 and chars[i] >= 80:
-                    kept.add(i)
+    # the article around the winner tells its bounds
+    at = best
+    while at >= 0 and page.nodes[at].name != "article":
+        at = page.nodes[at].up
+    bounded = at >= 0
+    best = at if bounded else best
+    kept, least = {best}, max(1.0, 0.2 * scores[best])
+    children: list[list[int]] = [[] for _ in page.nodes]
+    for i, node in enumerate(page.nodes):
+        if node.up >= 0 and chars[i] and not dropped[i]:
+            children[node.up].append(i)
+    at = best
+    while page.nodes[at].up >= 0 and page.nodes[at].name not in ("main", "body"):
+        siblings = [i for i in children[page.nodes[at].up] if i != at]
+        for i in siblings:
+            name, plain = page.nodes[i].name, links[i] < 0.25 * chars[i]
+            if scores[i] >= least or plain and (name in PROSE and chars[i] >= 80 or not bounded and (prose[i] or name in LISTS)):
+                kept.add(i)
+        last = max([at, *[i for i in siblings if i in kept]])
+        kept.update(i for i in siblings if page.nodes[i].name in HEADINGS and i < last)
+        if bounded:
+            break
+        at = page.nodes[at].up
     within = [False] * len(page.nodes)
     for i, node in enumerate(page.nodes):
         within[i] = i in kept or node.up >= 0 and within[node.up]

@@ -136,6 +136,24 @@ def test_main_text():
     assert html_extract.main_text("<div>" * 3000 + "<p>deep</p>") == "deep"
 
 
+TEXT, JUNK = "A sentence, with commas, of the article.", "Out, out, out, this, is, no, part, of, the, article, at, all, whatever, its, length."
+SHAPES = {
+    f'<div id="content"><section><p>{TEXT}</p><p>{TEXT}</p></section><section><h2>H</h2><p>Short.</p></section></div><div class="footer">{JUNK}</div>': [TEXT, TEXT, "H", "Short."],
+    f"<article><header><h1>T</h1><p>{JUNK}</p></header><p>{TEXT}</p><footer>{JUNK}</footer></article>": ["T", TEXT],
+    f'<main><article><p>{TEXT}</p></article><article class="comment"><p>{JUNK * 5}</p></article></main>': [TEXT],
+    f'<div class="layout has-sidebar"><div class="content-area"><h1>T</h1><p>{TEXT}</p></div><div class="sidebar"><p>{JUNK}</p></div></div>': ["T", TEXT],
+    f'<article><p>{TEXT}</p><div class="sponsored-content"><p>{JUNK}</p></div><div class="footer-content">{JUNK}</div><label>{JUNK}</label><p>Short.</p></article>': [TEXT, "Short."],
+    f"<div><div><h1>T</h1><p>{TEXT}</p></div><div><ul><li><a href=a>{JUNK}</a></li></ul></div></div>": ["T", TEXT],
+    f"<div><div><div><p>{TEXT}</p></div></div><div><div><p>{TEXT}</p></div></div><div><p>Short.</p></div></div>": [TEXT, TEXT, "Short."],
+    f"<main><article><h2>A</h2><p>{TEXT}</p></article><article><h2>B</h2><p>Short, and, more.</p></article></main>": ["A", TEXT, "B", "Short, and, more."],
+}
+
+
+def test_page_shapes():
+    for html, blocks in SHAPES.items():
+        assert html_extract.main_text(html).split("\n") == blocks
+
+
 def test_pages_by_force(spark, sf_dir):
     """The pages of the tables are a heading and paragraphs in an article; read another way."""
     import re
