@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import re
 import uuid
 from collections.abc import Iterator
@@ -106,29 +107,43 @@ def record_bytes(row, compress: bool = True) -> bytes:
 
 
 def parse_records(data: bytes) -> Iterator[dict]:
-    """The records (RECORD) of a WARC file's bytes, gzip members or plain."""
+    """The records (RECORD) of a WARC file's bytes, gzip members or plain, one after the other; no more than one is unpacked at a time."""
+    source = io.BytesIO(data)
     if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while (at := data.find(b"WARC/1.", at)) >= 0:
-        stop = data.find(b"\r\n\r\n", at)
-        heads = {}
-        for line in data[at:stop].decode("utf-8", "replace").split("\r\n")[1:]:
-            key, _, value = line.partition(":")
-            heads[key.strip().lower()] = value.strip()
-        size = int(heads.get("content-length", 0))
-        at = stop + 4 + size
-        yield {"record_id": heads.get("warc-record-id"), "type": heads.get("warc-type"), "refers_to": heads.get("warc-refers-to"), "target_uri": heads.get("warc-target-uri"), "date": heads.get("warc-date"), "content_type": heads.get("content-type"), "block_digest": heads.get("warc-block-digest"), "payload_digest": heads.get("warc-payload-digest"), "content": data[stop + 4 : at]}
+        source = gzip.GzipFile(fileobj=source)
+    while line := source.readline():
+        if not line.startswith(b"WARC/1."):
+            continue
+        heads: dict[str, str] = {}
+        key = ""
+        while (line := source.readline()).strip():
+            text = line.decode("utf-8", "replace")
+            if text[0] in " \t" and key:  # a folded header
+                heads[key] += " " + text.strip()
+                continue
+            key, _, value = text.partition(":")
+            key = key.strip().lower()
+            heads[key] = value.strip()
+        content = source.read(int(heads.get("content-length") or 0))
+        yield {"record_id": heads.get("warc-record-id"), "type": heads.get("warc-type"), "refers_to": heads.get("warc-refers-to"), "target_uri": heads.get("warc-target-uri"), "date": heads.get("warc-date"), "content_type": heads.get("content-type"), "block_digest": heads.get("warc-block-digest"), "payload_digest": heads.get("warc-payload-digest"), "content": content}
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """Rows of RECORD of the WARC files at a path; a file is read within one task."""
 
+    schema = pa.schema([(x.split()[0], pa.binary() if x.endswith("binary") else pa.string()) for x in RECORD.split(", ")])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                rows = list(parse_records(content.as_py()))
+                rows, held = [], 0
+                for record in parse_records(content.as_py()):
+                    rows.append(record)
+                    held += len(record["content"])
+                    if held > 8 << 20:
+                        yield pa.RecordBatch.from_pylist(rows, schema)
+                        rows, held = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_pylist(rows, pa.schema([(x.split()[0], pa.binary() if x.endswith("binary") else pa.string()) for x in RECORD.split(", ")]))
+                    yield pa.RecordBatch.from_pylist(rows, schema)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD)

@@ -1,6 +1,7 @@
 """WARC derivatives, token rollups, HTML extraction and the pipeline."""
 
 import collections
+import gzip
 import random
 
 import pytest
@@ -49,6 +50,16 @@ def totals(rollup):
     return {(r.source, r.lang, r.tokenizer_version): (r.n_docs, r.n_tokens) for r in rollup.totals().collect()}
 
 
+def test_records_in_a_file():
+    body = b"WARC/1.0 is a word of this body\r\n\r\n" * 3
+    plain = b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Target-URI: a:\r\n  b\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(body), body)
+    empty = b"WARC/1.0\r\nWARC-Type: metadata\r\n\r\n\r\n\r\n"
+    for data in (plain + empty + plain, gzip.compress(plain) + gzip.compress(empty) + gzip.compress(plain)):
+        found = list(warc.parse_records(data))
+        assert [(r["type"], r["target_uri"], r["content"]) for r in found] == [("resource", "a: b", body), ("metadata", None, b""), ("resource", "a: b", body)]
+    assert list(warc.parse_records(b"")) == []
+
+
 def test_rollup(spark):
     path = new_folder(spark, "rollup")
     rollup = token_rollup.TokenRollup(spark, path)
