@@ -92,8 +92,10 @@ def shard_documents(documents: DataFrame, shards: int = 24, rounds: int = 3, id_
 
 def deal(units: DataFrame, load: DataFrame, shards: int) -> DataFrame:
     """(unit, to): units (unit, bytes), largest first, each to the emptiest shard. One row holds them; their number is bounded (LARGE, SMALL_BINS, BINS)."""
-    rows = units.agg(F.reverse(F.array_sort(F.collect_list(F.struct("bytes", "unit")))).alias("units"))
-    loads = load.agg(F.array_sort(F.collect_list(F.struct("shard", "load"))).alias("loads")).select(F.transform("loads", lambda x: x["load"]).alias("loads"))
+    unit, held = F.struct(F.col("bytes").cast("long").alias("bytes"), F.col("unit").cast("long").alias("unit")), F.struct(F.col("shard").cast("int").alias("shard"), F.col("load").cast("long").alias("load"))
+    both = units.select(unit.alias("u"), F.lit(None).cast("struct<shard:int,load:bigint>").alias("l")).union(load.select(F.lit(None).cast("struct<bytes:bigint,unit:bigint>").alias("u"), held.alias("l")))
+    gathered = both.agg(F.reverse(F.array_sort(F.collect_list("u"))).alias("units"), F.array_sort(F.collect_list("l")).alias("loads"))
+    rows = gathered.select("units", F.transform("loads", lambda x: x["load"]).alias("loads"))
     out = "array<struct<unit:bigint,to:int>>"
 
     def step(acc: Column, x: Column) -> Column:
@@ -115,7 +117,7 @@ def deal(units: DataFrame, load: DataFrame, shards: int) -> DataFrame:
         return F.element_at(F.transform(F.array(part), lambda p: F.struct(p["loads"].alias("loads"), F.concat(acc["out"], p["out"]).cast(out).alias("out"))), 1)
 
     start = F.struct(F.col("loads"), F.array().cast(out).alias("out"))
-    return rows.crossJoin(loads).select(F.explode(F.aggregate(starts, start, blocks, lambda acc: acc["out"])).alias("u")).select("u.*").distinct()
+    return rows.select(F.explode(F.aggregate(starts, start, blocks, lambda acc: acc["out"])).alias("u")).select("u.*").distinct()
 
 
 def slots(placed: DataFrame) -> DataFrame:
