@@ -1,11 +1,12 @@
 """License scan by sentence rules, in DataFrame functions alone.
 
-A text is cut into sentences twice: at sentence ends and line breaks, and at
-sentence ends alone (for licenses that wrap over lines).  Sentences are
-normalised (lower case, runs of other characters than letters and digits are
-one space) and looked up in a table of known license sentences; the sequences
-of identifiers found are matched against ordered rules, of which the first
-that matches decides.
+A text is cut into sentences three times: at sentence ends and line breaks, at
+sentence ends alone (for licenses that wrap over lines), and at sentence ends,
+blank lines and copyright lines, comment prefixes left out (for notices under
+a heading).  Sentences are normalised (lower case, runs of other characters
+than letters and digits are one space) and looked up in a table of known
+license sentences; the sequences of identifiers found are matched against
+ordered rules, of which the first that matches decides.
 """
 
 from __future__ import annotations
@@ -25,8 +26,16 @@ SENTENCES = {
     "apache-comply": "you may not use this file except in compliance with the license",
     "apache-copy": "you may obtain a copy of the license at",
     "gpl-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    # notices whose sentences hold a mark at which texts are cut, as the parts that this leaves
+    "gpl-free-1": "this program is free software",
+    "gpl-free-2": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "gpl-warranty": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "gpl-warranty-1": "this program is distributed in the hope that it will be useful but without any warranty",
+    "gpl-warranty-2": "without even the implied warranty of merchantability or fitness for a particular purpose",
     "mpl-notice": "this source code form is subject to the terms of the mozilla public license v 2 0",
+    "mpl-notice-1": "this source code form is subject to the terms of the mozilla public license v",
+    "mpl-copy": "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
+    "mpl-copy-2": "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0",
     "apache-line": "licensed under the apache license version 2 0",
     "mit-line": "released under the mit license",
     "mit-line-2": "licensed under the mit license",
@@ -45,6 +54,9 @@ RULES = [
     ("bsd-2-text", "BSD-2-Clause", "permissive", ["bsd-grant"]),
     ("apache-header", "Apache-2.0", "permissive", ["apache-grant", "apache-comply"]),
     ("gpl-header", "GPL-3.0-or-later", "copyleft", ["gpl-free"]),
+    ("gpl-header-2", "GPL-3.0-or-later", "copyleft", ["gpl-free-1", "gpl-free-2"]),
+    ("mpl-header-2", "MPL-2.0", "copyleft", ["mpl-notice-1", "mpl-copy"]),
+    ("mpl-header-3", "MPL-2.0", "copyleft", ["mpl-notice-1", "mpl-copy-2"]),
     ("mpl-header", "MPL-2.0", "copyleft", ["mpl-notice"]),
     ("gpl-line", "GPL-3.0-only", "copyleft", ["gpl-line"]),
     ("gpl-line-2", "GPL-3.0-only", "copyleft", ["gpl-line-2"]),
@@ -58,7 +70,10 @@ RULES = [
 ]
 
 # Every known sentence has one of these, so a text without any has no known sentence.
-ANCHORS = ["licen", "permission", "warranty", "reserved", "redistribution", "cc0"]
+ANCHORS = ["licen", "permission", "warranty", "reserved", "redistribution", "cc0", "software", "mozilla"]
+
+# Where sentences end; the third is for texts without comment prefixes.
+LINES, WRAPPED, NOTICES = r"[.!?;:]+\s+|\n", r"[.!?;:]+\s+", r"[.!?;:]+\s+|\n\n+|\n?\u0002\n?"
 
 
 def sequence(text: Column, breaks: str) -> Column:
@@ -69,6 +84,14 @@ def sequence(text: Column, breaks: str) -> Column:
     return F.filter(found, lambda x: x.isNotNull())
 
 
+def bare(text: Column) -> Column:
+    """A text without what stands before the words of its lines (comment signs, `rem`, `dnl`, item numbers); a copyright line is \\u0002, and "v. 2" is "v 2"."""
+    words = F.regexp_replace(F.regexp_replace(text, "\r\n?|\u0002", "\n"), r"(?im)^[^\p{L}\p{N}\n]+(?:(?:rem|dnl)(?=\s)[^\p{L}\p{N}\n]*)?|^(?:rem|dnl)(?=\s)[^\p{L}\p{N}\n]*", "")
+    words = F.regexp_replace(words, r"(?m)^[0-9]{1,2}\)[^\p{L}\p{N}\n]+", "")
+    words = F.regexp_replace(words, r"(?im)^(?:copyright[ \t]+(?:\(c\)|©|[0-9])|\(?c\)[ \t]+[0-9]{4})[^\n]*", "\u0002")
+    return F.regexp_replace(words, r"(?i)\bv\.\s+(?=[0-9])", "v ")
+
+
 def follows(rule: list[str]):
     """Predicate: whether identifiers (joined, with a comma at both ends) have those of a rule in its order."""
     return lambda ids: ids.rlike("," + ",(?:[^,]+,)*".join(rule) + ",")
@@ -77,7 +100,7 @@ def follows(rule: list[str]):
 def scan_licenses(documents: DataFrame, text_column: str = "text") -> DataFrame:
     """The columns of `documents` and a struct `license`: sentence_ids (array), rule, name, kind; the last three are null where no rule matches.
 
-    A null text counts as empty: no sentences, no license. Of several licenses the first rule's is reported, and all their sentences.
+    A null text counts as empty: no sentences, no license. Of several licenses the first rule's is reported, and the sentences of the cut that finds most.
     Rows are independent and stay as they are; a column `license` is replaced. No exchange.
     """
     text = F.coalesce(documents[text_column].cast("string"), F.lit(""))
@@ -85,17 +108,18 @@ def scan_licenses(documents: DataFrame, text_column: str = "text") -> DataFrame:
     for x in ANCHORS:
         anchored = anchored | F.contains(lower, F.lit(x))
     s = documents.drop("license").withColumn("__some", anchored)
-    for name, breaks in (("__lines", r"[.!?;:]+\s+|\n"), ("__wrapped", r"[.!?;:]+\s+")):
-        s = s.withColumn(name, F.when(F.col("__some"), sequence(text, breaks)).otherwise(none))
+    for name, source, breaks in (("__lines", text, LINES), ("__wrapped", text, WRAPPED), ("__notices", bare(text), NOTICES)):
+        s = s.withColumn(name, F.when(F.col("__some"), sequence(source, breaks)).otherwise(none))
     joined = lambda c: F.concat(F.lit(","), F.array_join(c, ","), F.lit(","))
-    s = s.withColumn("__ids", F.array(joined("__lines"), joined("__wrapped")))
+    s = s.withColumn("__ids", F.array(joined("__lines"), joined("__wrapped"), joined("__notices")))
 
     rule = F.lit(None).cast("string")
     for key, _, _, wanted in reversed(RULES):
         rule = F.when(F.exists("__ids", follows(wanted)), F.lit(key)).otherwise(rule)
-    some = F.size("__lines") + F.size("__wrapped") > 0
+    some = F.size("__lines") + F.size("__wrapped") + F.size("__notices") > 0
     ids = F.when(F.size("__wrapped") > F.size("__lines"), F.col("__wrapped")).otherwise(F.col("__lines"))
+    ids = F.when(F.size("__notices") > F.size(ids), F.col("__notices")).otherwise(ids)
     s = s.withColumn("__rule", F.when(some, rule))
     of = lambda k: F.try_element_at(F.create_map(*[F.lit(x) for r in RULES for x in (r[0], r[k])]), F.col("__rule"))
     told = F.struct(ids.alias("sentence_ids"), F.col("__rule").alias("rule"), of(1).alias("name"), of(2).alias("kind"))
-    return s.withColumn("license", told).drop("__some", "__lines", "__wrapped", "__ids", "__rule")
+    return s.withColumn("license", told).drop("__some", "__lines", "__wrapped", "__notices", "__ids", "__rule")

@@ -319,6 +319,99 @@ def test_licenses(frame):
     assert license_scan.scan_licenses(frame([])).collect() == []
 
 
+# Wrapped notices as they stand in files, with their headings.
+NOTICES = {
+    "MIT": """MIT License
+
+Copyright (c) 2021 Jane Doe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM.""",
+    "BSD-2-Clause": """BSD 2-Clause License
+
+Copyright (c) 2021, Jane Doe
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.""",
+    "BSD-3-Clause": """BSD 3-Clause License
+
+Copyright (c) 2021, Jane Doe
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+3) Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.""",
+    "ISC": """ISC License
+
+Copyright (c) 2021, Jane Doe
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.""",
+    "Apache-2.0": """Copyright 2021 Jane Doe
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software""",
+    "GPL-3.0-or-later": """A program that does things
+Copyright (C) 2021 Jane Doe
+
+This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.""",
+    "MPL-2.0": """A file of things
+
+This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+}
+
+
+def test_wrapped_notices(frame):
+    prefixed = lambda text, p: "\n".join((p + line).rstrip() for line in text.split("\n"))
+    forms = [lambda x, p=p: prefixed(x, p) for p in ("", "# ", "// ", " * ", "; ", ";; ", "-- ", "% ", "REM ", "dnl ")]
+    forms += [lambda x: "/*\n" + prefixed(x, " * ") + "\n */\nint x;", lambda x: x.replace("\n", "\r\n"), lambda x: "<!--\n" + x + "\n-->"]
+    texts = [form(x) for x in NOTICES.values() for form in forms]
+    found = {r.doc_id: r.license for r in license_scan.scan_licenses(frame(texts)).collect()}
+    assert [found[k].name for k in range(len(texts))] == [name for name in NOTICES for _ in forms]
+    ids = {name: [found[i * len(forms) + k].sentence_ids for k in range(len(forms))] for i, name in enumerate(NOTICES)}
+    assert all(x == ["mit-grant", "mit-notice", "as-is"] for x in ids["MIT"]) and all(x == ["apache-grant", "apache-comply", "apache-copy"] for x in ids["Apache-2.0"])
+    assert all(x == ["gpl-free-1", "gpl-free-2", "gpl-warranty-1", "gpl-warranty-2"] for x in ids["GPL-3.0-or-later"])
+    # the parts alone, the first sentence alone, and text with every line set apart
+    more = ["This program is free software.", "subject to the terms of the Mozilla Public License, v. 2.0.", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", NOTICES["GPL-3.0-or-later"].split("\n\n")[1], "Redistribution and use in source and binary forms, with or without\n\nmodification, are permitted provided that the following conditions are met:\n\n"]
+    found = {r.doc_id: r.license for r in license_scan.scan_licenses(frame(more)).collect()}
+    assert [found[k].name for k in range(5)] == [None, None, "MPL-2.0", "GPL-3.0-or-later", "BSD-2-Clause"]
+
+
 # sharding
 
 
