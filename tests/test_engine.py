@@ -103,6 +103,42 @@ def test_mapping_tiers(trade):
     assert ("TRD_INVOICE", "Due_Date") in mapping.blocked_columns(m.all(["invoice_number", "invoice_date"]), trade)
 
 
+# The reference's aliases in the order of its table.
+ALIASES = [
+    ("TRD_CUSTOMER", "Account_Number", "account_number account_no acct_no acct_number acct_num acc_no acc_num acc_number accountno accountnum buyer_account buyer_acct buyer_ref client_acct client_no client_number cust_no cust_num customer_no customer_number customer_ref debtor_no debtor_number debtor_ref ar_account ar_no acno"),
+    ("TRD_CUSTOMER", "DUNS_Number", "duns_number duns duns_no duns_num dunsnumber duns_nbr"),
+    ("TRD_CUSTOMER", "Government_ID", "government_id govt_id gov_id tax_id tax_number vat_id vat_number vat_no national_id ein taxpayer_id fiscal_id registration_number"),
+    ("TRD_CUSTOMER", "Company_Name", "company_name company company_nm companyname business_name buyer_name org_name organization_name legal_name corp_name cust_name customer_name debtor_name trading_name entity_name firm_name name"),
+    ("TRD_CUSTOMER", "Country_Code", "country_code country cntry_cd cntry iso_country country_iso ctry_code ctry"),
+    ("TRD_CUSTOMER", "Address_1", "address_1 address1 addr1 addr_1 street street_address address_line_1 add1"),
+    ("TRD_CUSTOMER", "Address_2", "address_2 address2 addr2 addr_2 street_2 address_line_2 add2"),
+    ("TRD_CUSTOMER", "City", "city town city_nm suburb municipality"),
+    ("TRD_CUSTOMER", "State", "state province region state_cd state_code county territory"),
+    ("TRD_CUSTOMER", "Postcode", "postcode postal_code zip zip_code zipcode post_code postal_cd pin_code"),
+    ("TRD_INVOICE", "Invoice_Number", "invoice_number invoice_no inv_no inv_num invno invoice_num invoice_ref inv_ref reference_number ref_no ref_num doc_number doc_no document_number bill_number bill_no invoice_id inv_id"),
+    ("TRD_INVOICE", "Invoice_Date", "invoice_date inv_date invdate invoice_dt issue_date bill_date billing_date document_date doc_date date_of_invoice"),
+    ("TRD_INVOICE", "Due_Date", "due_date duedate due_dt payment_due_date due_by maturity_date pay_by_date date_due"),
+    ("TRD_INVOICE", "Invoice_Amount", "invoice_amount inv_amount inv_amt invoice_amt gross_amount total_amount original_amount billed_amount invoice_value inv_value orig_amount orig_amt"),
+    ("TRD_INVOICE", "Paid_Date", "paid_date paiddate paid_dt payment_date date_paid settlement_date clearance_date"),
+    ("TRD_INVOICE", "Paid_Amount", "paid_amount paid_amt paidamt payment_amount amount_paid pmt_amount pmt_amt amount_received receipt_amount"),
+    ("TRD_INVOICE", "Payment_Terms", "payment_terms pay_terms pmt_terms terms credit_terms selling_terms terms_of_payment trade_terms"),
+    ("TRD_INVOICE", "Invoice_Type", "invoice_type inv_type transaction_type record_type txn_type doc_type document_type"),
+    ("TRD_INVOICE", "Currency", "currency currency_code curr_code ccy curr iso_currency"),
+    ("TRD_INVOICE", "DOE", "doe date_of_experience reporting_date cutoff_date report_date exp_date data_date as_of_date submission_date batch_date"),
+    ("TRD_INVOICE", "Account_Number", "invoice_account_number invoice_account_no inv_account_no bill_to_account buyer_invoice_account"),
+]
+
+
+def test_aliases(trade):
+    want = {a: (t, c) for t, c, names in ALIASES for a in names.split()}
+    assert len(want) == 206 and list(trade.aliases.items()) == list(want.items())
+    m = mapping.Mapper(trade)
+    for alias, target in want.items():
+        for header in (alias, alias.replace("_", " ").title()):
+            found = m.one(header)
+            assert (found.table, found.column, found.method) == (*target, mapping.EXACT)
+
+
 def test_provider(trade):
     calls = []
 
