@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pathlib import PurePosixPath
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 # Format of an extension.
 FORMATS = {".csv": "csv", ".tsv": "tsv", ".tab": "tsv", ".txt": "txt", ".xlsx": "xlsx", ".xls": "xls", ".json": "json", ".xml": "xml", ".html": "html", ".htm": "html", ".docx": "docx", ".pdf": "pdf", ".parquet": "parquet"}
@@ -76,6 +77,18 @@ def detect_encoding(head: bytes, whole: bool = True) -> str:
     return "latin-1"
 
 
+def whole_encoding(spark: SparkSession, path: str, head: bytes) -> str:
+    """The encoding of a file by all its bytes, of which `head` are the first. One pass, in parts, over a file that is longer than its head."""
+    encoding = detect_encoding(head, len(head) < HEAD_BYTES)
+    if len(head) < HEAD_BYTES or encoding not in ("utf-8", "cp1252"):
+        return encoding
+    # a line break is one byte in all of these, so a file is valid if its lines are
+    line = spark.read.option("lineSep", "\n").text(path).select(F.col("value").cast("binary").alias("b"))
+    undefined = F.decode("b", "ISO-8859-1").rlike(r"[\x81\x8d\x8f\x90\x9d]")  # in cp1252
+    utf8, latin = line.agg(F.min(F.is_valid_utf8(F.col("b").cast("string"))), F.max(undefined)).first()
+    return "utf-8" if utf8 else "latin-1" if latin else "cp1252"
+
+
 def sniff_delimiter(line: str) -> str:
     """The delimiter that the first line has most of; a comma if it has none."""
     best = max(DELIMITERS, key=lambda d: (line.count(d), -DELIMITERS.index(d)))

@@ -55,9 +55,9 @@ def normalised(rows: DataFrame, header: list[str], compose: bool) -> DataFrame:
 
 
 def delimited_header(spark: SparkSession, file: InputFile) -> tuple[list[str], str, str]:
-    """(header, delimiter, encoding) from the head of a file."""
+    """(header, delimiter, encoding): the first two from the head of a file, the encoding from all of it."""
     head = files.read_head(spark, file.path)
-    encoding = files.detect_encoding(head, len(head) < files.HEAD_BYTES)
+    encoding = files.whole_encoding(spark, file.path, head)
     text = files.clean(head.decode(encoding, "replace").lstrip("﻿"))
     lines = text.splitlines()
     if not lines or not lines[0].strip():

@@ -196,6 +196,17 @@ def rows_of(parsed):
     return [tuple(r) for r in parsed.rows.orderBy(tables.INDEX).collect()]
 
 
+@pytest.mark.parametrize("first, late, encoding", [("", "Müller €", "cp1252"), ("", "Müller €", "utf-8"), ("", "Müller\x81", "latin-1"), ("é", "Müller\x81", "latin-1"), ("é", "Müller €", "cp1252")])
+def test_encoding_of_late_rows(spark, tmp_path, first, late, encoding):
+    lines = ["name,b", f"x{first},first", *[f"plain,{k}" for k in range(120_000)], f"{late},last"]
+    content = "\n".join(lines).encode(encoding)
+    assert content[2000 : files.HEAD_BYTES].isascii() and len(content) > files.HEAD_BYTES + 100_000
+    found = tables.scan(spark, InputFile(put(tmp_path, "late.csv", content), "late.csv"))
+    assert found.encoding == encoding
+    # the scan drops control characters
+    assert found.rows.where("b IN ('first', 'last')").orderBy("Source_Row_Index").select("name").collect() == [(f"x{first}",), (late.replace("\x81", ""),)]
+
+
 def test_delimited(spark, tmp_path):
     parsed = tables.scan(spark, InputFile(put(tmp_path, "a.txt", 'x|y |x\n1|"a|b\nc"|2\n3\n4|5|6|7\n8|9|ﬁ\n'), "a.txt"))
     assert (parsed.format, parsed.header) == ("pipe_delimited", ["x", "y", "x.1"])
