@@ -1,7 +1,7 @@
 """WARC derivatives: metadata and conversion records linked to response records.
 
 A response's HTML becomes a conversion record (its visible text) and a
-metadata record (source headers, title, links), each with WARC-Refers-To, the
+metadata record (all headers of the source, title, links), each with WARC-Refers-To, the
 source's target URI and date, its own block digest, and the source's payload
 digest.  Records can be written out as the bytes of a WARC/1.1 file, and read
 again.
@@ -25,30 +25,33 @@ from .html_tree import read_page
 RESPONSE = "record_id string, target_uri string, date string, content binary"
 RECORD = "record_id string, type string, refers_to string, target_uri string, date string, content_type string, block_digest string, payload_digest string, content binary"
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
-#: Headers of a response that its metadata record repeats.
-SOURCE_HEADERS = ("content-type", "content-language", "last-modified", "etag", "server")
+#: A record's own WARC headers, in their order; an optional column of responses and of what is read.
+WARC_HEADERS = "warc_headers array<struct<name:string,value:string>>"
 
 
 def digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data, usedforsecurity=False).digest()).decode()
 
 
-def split_response(content: bytes) -> tuple[str, dict[str, str], bytes]:
-    """(status line, headers in lower case, payload) of an HTTP response; a content without a status line is all payload."""
+def split_response(content: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
+    """(status line, headers in their order, names in lower case, payload) of an HTTP response; a content without a status line is all payload."""
     if not content.startswith(b"HTTP/"):
-        return "", {}, content
+        return "", [], content
     head, _, payload = content.partition(b"\r\n\r\n")
     status, *lines = head.decode("latin-1").split("\r\n")
-    headers = {}
+    headers: list[tuple[str, str]] = []
     for line in lines:
         key, colon, value = line.partition(":")
-        if colon:
-            headers[key.strip().lower()] = value.strip()
+        if line[:1] in (" ", "\t") and headers:  # a folded header
+            headers[-1] = (headers[-1][0], f"{headers[-1][1]} {line.strip()}".strip())
+        elif colon:
+            headers.append((key.strip().lower(), value.strip()))
     return status, headers, payload
 
 
-def decode(payload: bytes, headers: dict[str, str]) -> str:
-    named = re.search(r"charset=[\"']?([\w.:-]+)", headers.get("content-type", ""))
+def decode(payload: bytes, headers: list[tuple[str, str]]) -> str:
+    """By the charset of the last content type, else as UTF-8."""
+    named = re.search(r"charset=[\"']?([\w.:-]+)", dict(headers).get("content-type", ""))
     try:
         return payload.decode(named[1] if named else "utf-8", "replace")
     except LookupError:
@@ -60,14 +63,18 @@ def derivative_id(record_id: str | None, kind: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(SPACE, f'{kind}:{record_id}')}>"
 
 
-def derive(record_id: str | None, uri: str | None, date: str | None, content: bytes | None) -> list[tuple]:
-    """The metadata and the conversion record (RECORD) of a response."""
+def derive(record_id: str | None, uri: str | None, date: str | None, content: bytes | None, warc_headers: list[dict] | None = None) -> list[tuple]:
+    """The metadata and the conversion record (RECORD) of a response. Its HTTP headers are fields source-<name>, its WARC headers source-warc-<name>."""
     status, headers, payload = split_response(content or b"")
     page = read_page(decode(payload, headers))
     text = "\n".join(b.text for b in page.blocks).encode()
     source = digest(payload)
-    fields = [("source-status", status), *[(f"source-{k}", headers[k]) for k in SOURCE_HEADERS if k in headers], ("source-payload-digest", source), ("source-length", str(len(payload))), ("title", page.title), ("text-digest", digest(text)), *[("outlink", " ".join(x.split())) for x in page.links]]
-    about = "".join(f"{k}: {v}\r\n" for k, v in fields if v).encode()
+    own = [(f"source-{k}", v) for k, v in headers]
+    own += [(f"source-warc-{x['name'].strip().lower().removeprefix('warc-')}", " ".join((x["value"] or "").split())) for x in warc_headers or [] if x and x["name"]]
+    fields = [("source-payload-digest", source), ("source-length", str(len(payload))), ("title", page.title), ("text-digest", digest(text)), *[("outlink", " ".join(x.split())) for x in page.links]]
+    # of the source's headers, empty ones stay too
+    told = [*[("source-status", status)][: bool(status)], *own, *[x for x in fields if x[1]]]
+    about = "".join(f"{k}: {v}\r\n" for k, v in told).encode()
     out = []
     for kind, form, block in (("metadata", "application/warc-fields", about), ("conversion", "text/plain; charset=utf-8", text)):
         out.append((derivative_id(record_id, kind), kind, record_id, uri, date, form, digest(block), source, block))
@@ -75,7 +82,7 @@ def derive(record_id: str | None, uri: str | None, date: str | None, content: by
 
 
 def build_derivatives(responses: DataFrame) -> DataFrame:
-    """Two rows of RECORD, metadata and conversion, for each row of `responses` (RESPONSE; other columns are not read).
+    """Two rows of RECORD, metadata and conversion, for each row of `responses` (RESPONSE, and WARC_HEADERS if it has them; other columns are not read).
 
     A null content is an empty one, and has an empty conversion. Null ids, URIs and dates stay null; repeated rows give repeated
     records, with the same identifiers. An empty table gives an empty result.
@@ -96,6 +103,8 @@ def build_derivatives(responses: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     wanted = [responses[x.split()[0]].cast(x.split()[1]).alias(x.split()[0]) for x in RESPONSE.split(", ")]
+    if "warc_headers" in responses.columns:
+        wanted.append(responses["warc_headers"].cast(WARC_HEADERS.split()[1]).alias("warc_headers"))
     return responses.select(*wanted).mapInArrow(run, RECORD)
 
 
@@ -107,31 +116,32 @@ def record_bytes(row, compress: bool = True) -> bytes:
 
 
 def parse_records(data: bytes) -> Iterator[dict]:
-    """The records (RECORD) of a WARC file's bytes, gzip members or plain, one after the other; no more than one is unpacked at a time."""
+    """The records (RECORD and WARC_HEADERS) of a WARC file's bytes, gzip members or plain, one after the other; no more than one is unpacked at a time."""
     source = io.BytesIO(data)
     if data[:2] == b"\x1f\x8b":
         source = gzip.GzipFile(fileobj=source)
     while line := source.readline():
         if not line.startswith(b"WARC/1."):
             continue
-        heads: dict[str, str] = {}
-        key = ""
+        every: list[dict[str, str]] = []
         while (line := source.readline()).strip():
             text = line.decode("utf-8", "replace")
-            if text[0] in " \t" and key:  # a folded header
-                heads[key] += " " + text.strip()
+            if text[0] in " \t" and every:  # a folded header
+                every[-1]["value"] += " " + text.strip()
                 continue
             key, _, value = text.partition(":")
-            key = key.strip().lower()
-            heads[key] = value.strip()
+            every.append({"name": key.strip(), "value": value.strip()})
+        heads = {x["name"].lower(): x["value"] for x in every}
         content = source.read(int(heads.get("content-length") or 0))
-        yield {"record_id": heads.get("warc-record-id"), "type": heads.get("warc-type"), "refers_to": heads.get("warc-refers-to"), "target_uri": heads.get("warc-target-uri"), "date": heads.get("warc-date"), "content_type": heads.get("content-type"), "block_digest": heads.get("warc-block-digest"), "payload_digest": heads.get("warc-payload-digest"), "content": content}
+        yield {"record_id": heads.get("warc-record-id"), "type": heads.get("warc-type"), "refers_to": heads.get("warc-refers-to"), "target_uri": heads.get("warc-target-uri"), "date": heads.get("warc-date"), "content_type": heads.get("content-type"), "block_digest": heads.get("warc-block-digest"), "payload_digest": heads.get("warc-payload-digest"), "content": content, "warc_headers": every}
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of RECORD of the WARC files at a path; a file is read within one task."""
+def read_warc(spark: SparkSession, path: str, warc_headers: bool = False) -> DataFrame:
+    """Rows of RECORD, and WARC_HEADERS if asked for, of the WARC files at a path; a file is read within one task."""
 
     schema = pa.schema([(x.split()[0], pa.binary() if x.endswith("binary") else pa.string()) for x in RECORD.split(", ")])
+    if warc_headers:
+        schema = schema.append(pa.field("warc_headers", pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,4 +156,4 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD)
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, f"{RECORD}, {WARC_HEADERS}" if warc_headers else RECORD)

@@ -39,6 +39,20 @@ def test_warc(spark, tmp_path):
     assert warc.build_derivatives(spark.createDataFrame([], warc.RESPONSE)).collect() == []
 
 
+def test_source_headers(spark, tmp_path):
+    heads = [("Date", "Mon, 01 Jan 2024 00:00:00 GMT"), ("Content-Type", "text/html; charset=utf-8"), ("Link", "</a>; rel=next"), ("Set-Cookie", "a=1"), ("X-Robots-Tag", "noindex,\r\n nofollow"), ("Set-Cookie", "b=2"), ("X-Empty", ""), ("Location", "http://x/é"), ("Link", "</b>; rel=prev")]
+    content = ("HTTP/1.1 301 Moved\r\n" + "".join(f"{k}: {v}\r\n" for k, v in heads) + "\r\n<p>x").encode("latin-1")
+    path = tmp_path / "a.warc"
+    path.write_bytes(b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <r>\r\nWARC-IP-Address: 10.0.0.1\r\nWARC-Concurrent-To: <a>\r\nWARC-Concurrent-To: <b>\r\nContent-Type: application/http\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(content), content))
+    want = [f"source-{k.lower()}: {v}".replace("\r\n", "") for k, v in heads]
+    warcs = ["source-warc-type: response", "source-warc-record-id: <r>", "source-warc-ip-address: 10.0.0.1", "source-warc-concurrent-to: <a>", "source-warc-concurrent-to: <b>", "source-warc-content-type: application/http", f"source-warc-content-length: {len(content)}"]
+    for own in (False, True):
+        found = warc.build_derivatives(warc.read_warc(spark, str(path), warc_headers=own)).where("type = 'metadata'").collect()
+        lines = bytes(found[0].content).decode().split("\r\n")
+        assert lines[0] == "source-status: HTTP/1.1 301 Moved" and lines[1 : 1 + len(want)] == want
+        assert lines[1 + len(want) :][: len(warcs)] == warcs if own else not any(x.startswith("source-warc") for x in lines)
+
+
 # token rollups
 
 
