@@ -248,24 +248,39 @@ def pdf_rows(content: bytes) -> list[list[str]]:
 
 
 def legacy_rows(content: bytes) -> list[list[str]]:
-    raise UnsupportedFile("XLS files need xlrd, which is not installed; save the workbook as XLSX")
+    """Cells of the first sheet of an XLS workbook, as in xlsx_rows. Needs xlrd."""
+    try:
+        import xlrd
+    except ImportError as e:
+        raise UnsupportedFile("XLS files need xlrd, which is not installed; save the workbook as XLSX") from e
+
+    def written(cell) -> str:
+        if cell.ctype == xlrd.XL_CELL_ERROR:
+            return xlrd.error_text_from_code.get(cell.value, "")
+        if cell.ctype == xlrd.XL_CELL_BOOLEAN:
+            return str(int(cell.value))
+        return str(int(cell.value)) if isinstance(cell.value, float) and cell.value.is_integer() else str(cell.value)
+
+    sheet = xlrd.open_workbook(file_contents=content).sheet_by_index(0)
+    rows = [[written(c) for c in sheet.row(k)] for k in range(sheet.nrows)]
+    return [r for r in rows if any(r)]
 
 
 BINARY: dict[str, Callable[[bytes], list[list[str]]]] = {"html": html_rows, "docx": docx_rows, "xlsx": xlsx_rows, "xls": legacy_rows, "pdf": pdf_rows}
 
 
 def scan_binary(spark: SparkSession, file: InputFile, kind: str) -> ParsedFile:
-    """Documents, each parsed within a task; the driver parses one once for its header."""
+    """Documents, each parsed within a task; the driver parses one once for its header, which is as wide as the widest row: names that lack are `Unnamed: k`."""
     parse = BINARY[kind]
     found = parse(read_whole(spark, file))
-    header = files.unique_names(found[0])
-    width = len(header)
+    width = max(map(len, found))
+    header = files.unique_names([*found[0], *[f"Unnamed: {k}" for k in range(len(found[0]), width)]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
                 for at, row in enumerate(parse(content.as_py())[1:], 1):
-                    cells = [*row, *[""] * width][:width]
+                    cells = [*row, *[""] * (width - len(row))]
                     yield pa.RecordBatch.from_arrays([*[pa.array([x], pa.string()) for x in cells], pa.array([at], pa.int64())], names=[*header, INDEX])
 
     schema = T.StructType([*[T.StructField(h, T.StringType()) for h in header], T.StructField(INDEX, T.LongType())])

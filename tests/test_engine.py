@@ -228,6 +228,24 @@ def test_row_index(spark):
     assert [(r.id + 1) == r.Source_Row_Index for r in df.collect()] == [True] * 100
 
 
+def test_rows_wider_than_the_header(spark, tmp_path):
+    page = "<table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>2</td><td>3</td><td>4</td></tr><tr><td>5</td></tr></table>"
+    parsed = tables.scan(spark, InputFile(put(tmp_path, "w.html", page), "w.html"))
+    assert parsed.header == ["a", "b", "Unnamed: 2", "Unnamed: 3"] and rows_of(parsed) == [("1", "2", "3", "4", 1), ("5", "", "", "", 2)]
+
+
+def test_xls_by_its_library(monkeypatch):
+    import sys
+    from types import SimpleNamespace as Any
+
+    cell = lambda value, ctype=1: Any(value=value, ctype=ctype)
+    cells = [[cell("a"), cell("b")], [cell("", 0), cell("", 0)], [cell(3.0, 2), cell(1.5, 2)], [cell(1, 4), cell(42, 5), cell("x")]]
+    sheet = Any(nrows=4, row=lambda k: cells[k])
+    book = Any(XL_CELL_ERROR=5, XL_CELL_BOOLEAN=4, error_text_from_code={42: "#N/A"}, open_workbook=lambda file_contents: Any(sheet_by_index=lambda k: sheet))
+    monkeypatch.setitem(sys.modules, "xlrd", book)
+    assert tables.legacy_rows(b"x") == [["a", "b"], ["3", "1.5"], ["1", "#N/A", "x"]]
+
+
 def test_other_formats(spark, tmp_path):
     parsed = tables.scan(spark, InputFile(put(tmp_path, "a.json", json.dumps([{"b": 12500.0, "a": "x"}, {"a": None}])), "a.json"))
     assert (parsed.header, rows_of(parsed)) == (["b", "a"], [("12500.0", "x", 1), (None, None, 2)])
