@@ -6,7 +6,7 @@ first.  The other pieces start as partial partitions of k windows with one
 piece each; the two with the largest differences between their windows are
 merged again and again, the fullest windows of one with the emptiest of the
 other, until one partition is left whose windows are nearly equal.  If a
-window exceeds the capacity, the number of windows rises, within
+window exceeds the capacity, the number of windows rises, by one or within
 `rise_share`, and all is merged anew; what still exceeds it is cut off and
 goes to windows with room, or to one more window if there is none.
 """
@@ -91,7 +91,7 @@ def fill(sizes: list[int], capacity: int, rise_share: float) -> list[list[tuple[
     while True:
         windows = differencing([x[2] for x in left], k)
         over = max(sum(left[j][2] for j in w) for w in windows) > capacity
-        if not over or k + 1 > least * (1 + rise_share):
+        if not over or k + 1 > max(least + 1, least * (1 + rise_share)):
             break
         k += 1
     out, spilled, room = [], [], []
@@ -133,8 +133,8 @@ def pack(documents: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: i
     """Rows of SCHEMA: the pieces of documents in sequences of at most `capacity` tokens; ids are unsigned 32-bit little-endian numbers.
 
     A document is its text's ids and `end_id`; null and empty texts are `end_id` alone. Rows that repeat or lack an id are packed
-    like others. A long document's whole sequences are full; a group leaves less than a sequence of padding, but for what
-    `rise_share` allows. sequence_id: the task's number times 2**32 and the sequence's number in it, so it is the same when a
+    like others. A long document's whole sequences are full; a group leaves less than a sequence of padding, but for one
+    sequence more, or what `rise_share` allows. sequence_id: the task's number times 2**32 and the sequence's number in it, so it is the same when a
     lost task runs again. Other columns are not read. No exchange; a task holds one group.
     """
     docs = documents.select(documents[id_column].cast("long").alias("doc_id"), documents[text_column].cast("string").alias("text"))

@@ -212,6 +212,15 @@ def test_fill():
         assert len(windows) - -(-sum(sizes) // 4096) <= 1
 
 
+def test_fill_rises():
+    assert sorted(packing.fill([2500] * 3, 4096, 0.002)) == [[(i, 0, 2500)] for i in range(3)]
+    rng = np.random.default_rng(5)
+    sizes = [int(x) for x in rng.integers(1, 500, 7600)]  # a group of production size
+    sizes.append(4095 - (sum(sizes) - 1) % 4096)  # that fills its windows
+    windows = packing.fill(sizes, 4096, 0.002)
+    assert sum(sizes) % 4096 == 0 and len(windows) == sum(sizes) // 4096 + 1 and sum(map(len, windows)) == len(sizes)
+
+
 def test_pack(frame):
     from tokenizers import Tokenizer
 
