@@ -67,9 +67,17 @@ base AS (SELECT * FROM t_assign UNION ALL SELECT * FROM t_access UNION ALL SELEC
 around AS (SELECT r, s - 300 AS s, e + 300 AS e FROM t_access UNION ALL SELECT r, s - 300, e + 300 FROM t_ident),
 edges AS (SELECT *, max(e) OVER (PARTITION BY r ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS so_far FROM around),
 scopes AS (SELECT r, g, min(s) AS s, max(e) AS e FROM (SELECT *, sum(CASE WHEN so_far IS NULL OR s > so_far THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM edges) GROUP BY 1, 2),
-proof AS (SELECT r, s, e FROM base WHERE rank <> 1 UNION ALL SELECT r, s, e FROM t_value),
+ids AS (SELECT r, s, e FROM t_access UNION ALL SELECT r, s, e FROM t_ident),
+apart AS (
+    SELECT * FROM (SELECT * FROM t_value UNION ALL SELECT * FROM t_hex) v
+    WHERE NOT EXISTS (SELECT 1 FROM (SELECT r, s, e FROM ids UNION ALL SELECT r, s, e FROM t_endpoint) x WHERE x.r = v.r AND v.s < x.e AND v.e > x.s)
+),
+proof AS (
+    SELECT r, s, e FROM apart UNION ALL
+    SELECT r, s, e FROM t_assign a WHERE NOT EXISTS (SELECT 1 FROM ids x WHERE x.r = a.r AND a.s < x.e AND a.e > x.s)
+),
 linked AS (SELECT * FROM scopes c WHERE EXISTS (SELECT 1 FROM proof p WHERE p.r = c.r AND p.s < c.e AND p.e > c.s)),
-weak AS (SELECT w.* FROM (SELECT * FROM t_ident UNION ALL SELECT * FROM t_value UNION ALL SELECT * FROM t_endpoint) w WHERE EXISTS (SELECT 1 FROM linked c WHERE c.r = w.r AND w.s < c.e AND w.e > c.s)),
+weak AS (SELECT w.* FROM (SELECT * FROM t_ident UNION ALL SELECT * FROM apart WHERE rank = 4 UNION ALL SELECT * FROM t_endpoint) w WHERE EXISTS (SELECT 1 FROM linked c WHERE c.r = w.r AND w.s < c.e AND w.e > c.s)),
 named AS (SELECT r, s, rank, rank <= 2 AS is_base, ['assign', 'access', 'hex', 'ident', 'value', 'endpoint'][rank + 1] || ':' || CAST(CAST(s AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(e AS BIGINT) AS VARCHAR) AS x FROM (SELECT * FROM base UNION ALL SELECT * FROM weak)),
 per AS (SELECT r, count(*) FILTER (rank = 0) AS a, count(*) FILTER (rank = 1) AS b, count(*) FILTER (rank = 2) AS c, string_agg(x, ',' ORDER BY s, rank) FILTER (is_base) AS bs, string_agg(x, ',' ORDER BY s, rank) AS sp FROM named GROUP BY 1)
 SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(bs, '')) AS base_sha256, coalesce(sp, '') AS spans FROM d LEFT JOIN per USING (r)

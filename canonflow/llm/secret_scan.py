@@ -6,7 +6,10 @@ say little alone.  Each identifier, base access keys included, opens the
 interval of `reach` code points around it; overlapping intervals are merged
 into scopes.  Secrets and endpoints are joined to the scopes that overlap
 them, and a scope's weak candidates are reported only if the scope also holds
-a secret: identifier and secret complement each other.
+a secret that complements its identifiers: another text than an identifier's
+own, and, but for assignments, no part of an endpoint.
+
+The joins are sorted merges of the intervals of a text.
 """
 
 from __future__ import annotations
@@ -14,6 +17,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .folds import let, merged, overlapping, running
+from .state import unused
+
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}"
@@ -23,43 +29,26 @@ ENDPOINT = r"[a-z][a-z0-9+]{1,15}://[A-Za-z0-9._~%@:/?#&=+-]+"
 #: Place of a kind among spans that start together.
 KINDS = ["assign", "access", "hex", "ident", "value", "endpoint"]
 SPAN = "array<struct<start:int,rank:int,end:int>>"
+#: Code points of the parts in which a text is cut for redaction.
+PART = 1024
 
 
 def found(text: Column, pattern: str, rank: int, keep=None, group: int = 0) -> Column:
     """Leftmost non-overlapping matches as (start, rank, end) in code points. keep: a predicate on the group's text; matches that fail it are dropped, but have consumed their text."""
-    parts = F.arrays_zip(F.split(text, pattern, -1).alias("before"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("part"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["before"])
-        end = start + F.length(F.coalesce(x["hit"], F.lit("")))
-        good = x["hit"].isNotNull()
-        if keep is not None:
-            good = good & keep(x["part"])
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"))
-        out = F.when(good, F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
-        return F.struct(end.alias("at"), out.cast(SPAN).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-    return F.coalesce(F.when(text.rlike(pattern), F.aggregate(parts, start, step, lambda acc: acc["out"])), F.array().cast(SPAN))
-
-
-def merged(spans: Column, reach: int = 0) -> Column:
-    """Disjoint intervals that cover spans sorted by start, each widened by `reach` at both ends."""
-    interval = "array<struct<start:int,end:int>>"
-
-    def step(acc: Column, x: Column) -> Column:
-        new = F.struct((x["start"] - reach).alias("start"), (x["end"] + reach).alias("end"))
-        last = F.element_at(acc, -1)
-        joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], new["end"]).alias("end"))
-        return F.when(F.size(acc) == 0, F.array(new)).when(new["start"] <= last["end"], F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(joined))).otherwise(F.concat(acc, F.array(new))).cast(interval)
-
-    # element_at of an empty array is an error; the first interval is put in before
-    seeded = F.when(F.size(spans) > 0, F.aggregate(F.slice(spans, 2, F.greatest(F.size(spans) - 1, F.lit(0))), F.array(F.struct((spans[0]["start"] - reach).alias("start"), (spans[0]["end"] + reach).alias("end"))).cast(interval), step))
-    return F.coalesce(seeded, F.array().cast(interval))
+    none = F.array().cast(SPAN)
+    parts = F.arrays_zip(
+        F.split(text, pattern, -1).alias("before"),
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"),
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("part"),
+    )
 
+    def placed(p: Column) -> Column:
+        lengths = F.transform(p, lambda x: F.length(x["before"]) + F.length(F.coalesce(x["hit"], F.lit(""))))
+        spans = let(running(lengths, lambda a, b: a + b, 0), lambda ends: F.transform(p, lambda x, i: F.struct((F.get(ends, i) - F.length(x["hit"])).alias("start"), F.lit(rank).alias("rank"), F.get(ends, i).alias("end"), x["part"].alias("part"))))
+        good = F.filter(spans, lambda s: s["start"].isNotNull() & (F.lit(True) if keep is None else keep(s["part"])))
+        return F.transform(good, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end")))
 
-def overlaps(a: Column, b: Column) -> Column:
-    return (a["start"] < b["end"]) & (a["end"] > b["start"])
+    return F.coalesce(F.when(text.rlike(pattern), let(parts, placed).cast(SPAN)), none)
 
 
 def joined_text(spans: Column) -> Column:
@@ -71,38 +60,57 @@ def scan_secrets(documents: DataFrame, text_column: str = "text", reach: int = 3
     """The columns of `documents` and a struct `secrets`: base and all (arrays of start, rank in KINDS, end; sorted), scopes (of linked credentials).
 
     Null and empty texts have empty arrays. Rows are independent: copies, repeated ids and clashing column names (other than
-    `secrets`, which is replaced) don't matter. No exchange; time is linear in a text's length, but for texts of many thousand secrets.
+    `secrets`, which is replaced) don't matter. No exchange; time is linear in a text's length, but for the sorting of spans.
     """
     text = F.coalesce(documents[text_column].cast("string"), F.lit(""))
     mixed = lambda s: s.rlike("[0-9]") & s.rlike("[A-Za-z]")
-    s = documents.drop("secrets").withColumn(
-        "__found",
+    none = F.array().cast(SPAN)
+    s = documents.drop("secrets")
+    steps = {x: unused(s, f"__{x}") for x in ("found", "scopes", "loose", "linked", "weak")}
+    col = lambda x: F.col(steps[x])
+    s = s.withColumn(
+        steps["found"],
         F.struct(
-            F.concat(found(text, ASSIGN, 0, lambda g: F.length(g) >= 6, 2), found(text, ACCESS, 1, lambda g: F.length(g) >= 20), found(text, HEX, 2)).alias("base"),
+            found(text, ASSIGN, 0, lambda g: F.length(g) >= 6, 2).alias("assign"),
+            found(text, ACCESS, 1, lambda g: F.length(g) >= 20).alias("access"),
+            found(text, HEX, 2).alias("hex"),
             found(text, IDENT, 3).alias("ident"),
-            found(text, VALUE, 4, mixed).alias("value"),
-            found(text, ENDPOINT, 5).alias("endpoint"),
         ),
     )
-    f = F.col("__found")
-    access = F.filter(f["base"], lambda x: x["rank"] == 1)
-    s = s.withColumn("__scopes", merged(F.array_sort(F.concat(access, f["ident"])), reach))
-    proof = F.concat(F.filter(f["base"], lambda x: x["rank"] != 1), f["value"])
-    s = s.withColumn("__proof", F.when(F.size("__scopes") > 0, proof).otherwise(F.array().cast(SPAN)))
-    s = s.withColumn("__linked", F.filter("__scopes", lambda c: F.exists("__proof", lambda x: overlaps(x, c))))
-    weak = F.filter(F.concat(f["ident"], f["value"], f["endpoint"]), lambda x: F.exists("__linked", lambda c: overlaps(x, c)))
-    s = s.withColumn("__weak", F.when(F.size("__linked") > 0, weak).otherwise(F.array().cast(SPAN)))
-    secrets = F.struct(F.array_sort(f["base"]).alias("base"), F.array_sort(F.concat(f["base"], F.col("__weak"))).alias("all"), F.col("__linked").alias("scopes"))
-    return s.withColumn("secrets", secrets).drop("__found", "__scopes", "__proof", "__linked", "__weak")
+    f = col("found")
+    ids = F.concat(f["access"], f["ident"])
+    s = s.withColumn(steps["scopes"], F.when(F.size(ids) > 0, merged(F.sort_array(ids), reach)).otherwise(F.array().cast("array<struct<start:int,end:int>>")))
+    some = F.size(steps["scopes"]) > 0
+    values, ends = (F.when(some, x).otherwise(none) for x in (found(text, VALUE, 4, mixed), found(text, ENDPOINT, 5)))
+    s = s.withColumn(steps["loose"], F.struct(values.alias("value"), ends.alias("endpoint")))
+    loose = col("loose")
+    apart = overlapping(F.concat(loose["value"], f["hex"]), F.concat(loose["endpoint"], ids), False)
+    own = overlapping(f["assign"], ids, False)
+    told = lambda a: F.struct(F.sort_array(let(F.concat(a, own), lambda p: overlapping(col("scopes"), p))).alias("scopes"), F.filter(a, lambda x: x["rank"] == 4).alias("value"))
+    s = s.withColumn(steps["linked"], F.when(some, let(apart, told)))
+    weak = let(F.concat(f["ident"], col("linked")["value"], loose["endpoint"]), lambda w: overlapping(w, col("linked")["scopes"]))
+    s = s.withColumn(steps["weak"], F.when(F.size(col("linked")["scopes"]) > 0, weak).otherwise(none))
+    base = F.concat(f["assign"], f["access"], f["hex"])
+    scopes = F.coalesce(col("linked")["scopes"], F.array().cast("array<struct<start:int,end:int>>"))
+    secrets = F.struct(F.sort_array(base).alias("base"), F.sort_array(F.concat(base, col("weak"))).alias("all"), scopes.alias("scopes"))
+    return s.withColumn("secrets", secrets).drop(*steps.values())
 
 
 def redact(scanned: DataFrame, text_column: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """Texts of scan_secrets' rows with every reported span replaced by `mark`; overlapping spans become one mark. Texts without spans stay as they are, null included."""
-    text = scanned[text_column]
-
-    def step(acc: Column, x: Column) -> Column:
-        return F.struct(x["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark)).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate(merged(scanned["secrets"]["all"]), start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return scanned.withColumn(text_column, F.when(F.size(scanned["secrets"]["all"]) > 0, clean).otherwise(text))
+    text, spans = scanned[text_column], scanned["secrets"]["all"]
+
+    def between(parts: Column, a: Column, z: Column) -> Column:
+        """Code points a to z, from the parts that hold them."""
+        first, last = F.floor(a / PART).cast("int"), F.floor((z - 1) / PART).cast("int")
+        piece = lambda k: F.substring(F.get(parts, k), F.greatest(a - k * PART, F.lit(0)) + 1, F.least(z - k * PART, F.lit(PART)) - F.greatest(a - k * PART, F.lit(0)))
+        return F.when(z > a, F.array_join(F.transform(F.sequence(first, last), piece), "")).otherwise("")
+
+    def clean(parts: Column, gone: Column) -> Column:
+        edge = lambda k: F.coalesce(F.get(gone, k)["start"], F.length(text))
+        from_ = lambda k: F.when(k == 0, 0).otherwise(F.get(gone, k - 1)["end"])
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.size(gone)), lambda k: between(parts, from_(k), edge(k))), mark)
+
+    parts = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PART}}}"), F.lit(0))
+    cleaned = let(parts, lambda p: let(merged(spans), lambda gone: clean(p, gone)))
+    return scanned.withColumn(text_column, F.when(F.size(spans) > 0, cleaned).otherwise(text))
