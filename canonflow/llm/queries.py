@@ -45,19 +45,21 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def count_tokens(documents: DataFrame, word_path: str, byte_path: str) -> DataFrame:
-    """doc_id, source, lang, text_key and the counts of two tokenizers, word_bpe and byte_bpe."""
+    """doc_id, source, lang, text_key (two hashes: 128 bits tell texts apart at any size) and the counts of two tokenizers, word_bpe and byte_bpe."""
+    names = ["doc_id", "source", "lang", "key_1", "key_2", "word_bpe", "byte_bpe"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
         words, raw = tokens.word_tokenizer(word_path), tokens.byte_counter(byte_path, public_tokenizers.PATTERN)
         for batch in batches:
-            for at, to, _, first in words.chunks(batch.column(4)):
+            for at, to, _, first in words.chunks(batch.column(5)):
                 part = batch.slice(at, to - at)
-                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(first[1:] - first[:-1]), pa.array(raw.count(part.column(4)))], names=["doc_id", "source", "lang", "text_key", "word_bpe", "byte_bpe"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:5], pa.array(first[1:] - first[:-1]), pa.array(raw.count(part.column(5)))], names=names)
 
-    docs = documents.select("doc_id", "source", "lang", F.xxhash64("text").alias("text_key"), F.col("text"))
-    return docs.mapInArrow(run, "doc_id long, source string, lang string, text_key long, word_bpe long, byte_bpe long")
+    docs = documents.select("doc_id", "source", "lang", F.xxhash64("text").alias("key_1"), F.xxhash64(F.lit(7), "text").alias("key_2"), F.col("text"))
+    counted = docs.mapInArrow(run, "doc_id long, source string, lang string, key_1 long, key_2 long, word_bpe long, byte_bpe long")
+    return counted.select("doc_id", "source", "lang", F.struct("key_1", "key_2").alias("text_key"), "word_bpe", "byte_bpe")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,13 +67,25 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = keep(count_tokens(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), tokenizer_path("byte_bpe_50k.tiktoken")), "counts")
     least = counted.groupBy("text_key").agg(F.min("doc_id").alias("least"))
     # the join is written alone: in a stage without sums, a hot text's rows can be split
-    counted = keep(counted.join(least, counted["text_key"].eqNullSafe(least["text_key"])).select("source", "lang", "word_bpe", "byte_bpe", (F.col("doc_id") > F.col("least")).alias("copy")), "copies")
-    none = F.lit(None)
-    changes = lambda df, op, new, old=None: df.select(F.lit(op).alias("op"), "source", "lang", F.lit(new).alias("tokenizer_version"), F.col(new).alias("n_tokens"), (F.lit(old) if old else none.cast("string")).alias("old_tokenizer_version"), (F.col(old) if old else none.cast("long")).alias("old_n_tokens"))
+    joined = counted.join(least, "text_key")  # keys are never null
+    counted = keep(joined.select("source", "lang", "word_bpe", "byte_bpe", (F.col("doc_id") > F.col("least")).alias("copy")), "copies")
+
+    def changes(df: DataFrame, op: str, new: str, old: str | None = None) -> DataFrame:
+        return df.select(
+            F.lit(op).alias("op"),
+            "source",
+            "lang",
+            F.lit(new).alias("tokenizer_version"),
+            F.col(new).alias("n_tokens"),
+            F.lit(old).cast("string").alias("old_tokenizer_version"),
+            (F.col(old) if old else F.lit(None).cast("long")).alias("old_n_tokens"),
+        )
+
     rollup = token_rollup.TokenRollup(spark, new_folder(spark, "rollup"))
     rollup.apply("1-load", changes(counted, "insert", "word_bpe"))
     deletes = changes(counted.where("copy"), "delete", "word_bpe")
     rollup.apply("2-copies", deletes)
+    rollup.compact()
     rollup.apply("3-revise", changes(counted.where("NOT coalesce(copy, false)"), "revise", "byte_bpe", "word_bpe"))
     rollup.apply("2-copies", deletes)
     return rollup.totals()
