@@ -1,14 +1,18 @@
 """Packing by Karmarkar-Karp multiway differencing.
 
 Documents are packed in groups of about `group_tokens` tokens, each group
-within its task.  What exceeds whole sequences in a long document is cut off
-first.  The other pieces start as partial partitions of k windows with one
-piece each; the two with the largest differences between their windows are
-merged again and again, the fullest windows of one with the emptiest of the
-other, until one partition is left whose windows are nearly equal.  If a
-window exceeds the capacity, the number of windows rises, by one or within
-`rise_share`, and all is merged anew; what still exceeds it is cut off and
-goes to windows with room, or to one more window if there is none.
+within its task.  Of a document longer than a window, whole windows are cut
+off first, and the rest, since it is cut anyway, may be cut again.  The other
+documents start as partial partitions of k windows with one document each;
+the two with the largest differences between their windows are merged again
+and again, the fullest windows of one with the emptiest of the other, until
+one partition is left whose windows are nearly equal.  If a window exceeds the
+capacity, the number of windows rises by one and all is merged anew.  Rests of
+long documents then fill the windows to the brim.
+
+Where a rise by `rise_share` is not enough (documents of a bit more than half
+a window would leave the other half empty), the longest documents are filled
+in like the rests, and the count starts from the least again.
 """
 
 from __future__ import annotations
@@ -77,65 +81,49 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
 
 def fill(sizes: list[int], capacity: int, rise_share: float) -> list[list[tuple[int, int, int]]]:
     """Windows of (index, start, length); every token of every size lies in one."""
-    whole, left = [], []
+    whole, solid, fluid = [], [], []
     for i, s in enumerate(sizes):
-        at = 0
-        while s - at > capacity:
-            whole.append([(i, at, capacity)])
-            at += capacity
-        left.append((i, at, s - at))
-    total = sum(x[2] for x in left)
+        at = s // capacity * capacity
+        whole += [[(i, a, capacity)] for a in range(0, at, capacity)]
+        if s > at:
+            (fluid if at else solid).append((i, at, s - at))
+    total = sum(n for _, _, n in solid + fluid)
     if not total:
         return whole
+    solid.sort(key=lambda x: -x[2])
     least = k = -(-total // capacity)
+    most, cut = max(least + 1, int(least * (1 + rise_share))), 0
     while True:
-        windows = differencing([x[2] for x in left], k)
-        over = max(sum(left[j][2] for j in w) for w in windows) > capacity
-        if not over or k + 1 > max(least + 1, least * (1 + rise_share)):
+        parts = differencing([n for _, _, n in solid[cut:]], k)
+        if max(sum(solid[cut + j][2] for j in w) for w in parts) <= capacity:
             break
-        k += 1
-    out, spilled, room = [], [], []
-    for w in windows:
-        pieces, used = [], 0
-        for j in w:
-            i, at, n = left[j]
-            fits = min(n, capacity - used)
-            if fits:
-                pieces.append((i, at, fits))
-            if fits < n:
-                spilled.append((i, at + fits, n - fits))
-            used += fits
-        if pieces:
-            out.append(pieces)
-            if used < capacity:
-                room.append([capacity - used, len(out) - 1])
-    room.sort()
-    for i, at, n in sorted(spilled, key=lambda x: -x[2]):
+        if k < most:
+            k += 1
+        else:  # more windows would pad more than that: the longest pieces are cut, as few as powers of two tell
+            k, cut = least, max(1, 2 * cut)
+    windows = [[solid[cut + j] for j in w] for w in parts]
+    room = [capacity - sum(n for _, _, n in w) for w in windows]
+    w = 0
+    for i, at, n in fluid + solid[:cut]:
         while n:
-            if not room:
-                out.append([])
-                room.append([capacity, len(out) - 1])
-            free, w = room[-1]
-            fits = min(n, free)
-            out[w].append((i, at, fits))
-            at, n = at + fits, n - fits
-            room.pop()
-            if free > fits:
-                room.append([free - fits, w])
-                room.sort()
-    return whole + out
+            if fits := min(n, room[w]):
+                windows[w].append((i, at, fits))
+                at, n, room[w] = at + fits, n - fits, room[w] - fits
+            if not room[w]:
+                w += 1
+    return whole + [x for x in windows if x]
 
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(documents: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = CAPACITY, group_tokens: int = 2_000_000, rise_share: float = 0.002, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def pack(documents: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = CAPACITY, group_tokens: int = 2_000_000, rise_share: float = 0.01, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Rows of SCHEMA: the pieces of documents in sequences of at most `capacity` tokens; ids are unsigned 32-bit little-endian numbers.
 
-    A document is its text's ids and `end_id`; null and empty texts are `end_id` alone. Rows that repeat or lack an id are packed
-    like others. A long document's whole sequences are full; a group leaves less than a sequence of padding, but for one
-    sequence more, or what `rise_share` allows. sequence_id: the task's number times 2**32 and the sequence's number in it, so it is the same when a
-    lost task runs again. Other columns are not read. No exchange; a task holds one group.
+    A document is its text's ids and `end_id`; null and empty texts are `end_id` alone. Rows that repeat or lack an id are
+    packed like others. A document of `capacity` tokens or fewer is cut only where its group would otherwise pad more than
+    `rise_share` and two sequences. sequence_id: the task's number times 2**32 and the sequence's number in it, so it is the
+    same when a lost task runs again. Other columns are not read. No exchange; a task holds one group.
     """
     docs = documents.select(documents[id_column].cast("long").alias("doc_id"), documents[text_column].cast("string").alias("text"))
     names = [x.split()[0] for x in SCHEMA.split(", ")]
@@ -143,7 +131,8 @@ def pack(documents: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: i
     def write(ids: list, parts: list[np.ndarray], base: int) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         held = 0
-        for sequence, pieces in enumerate(fill([len(x) for x in parts], capacity, rise_share)):
+        windows = fill([len(x) for x in parts], capacity, rise_share)
+        for sequence, pieces in enumerate(windows):
             offset = 0
             for i, start, length in pieces:
                 rows.append((ids[i], start, length, parts[i][start : start + length].astype("<u4").tobytes(), len(parts[i]), base + sequence, offset))
@@ -154,7 +143,7 @@ def pack(documents: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: i
                 rows, held = [], 0
         if rows:
             yield batch_of(rows)
-        counted[0] = base + len(parts) + sum(len(x) // capacity for x in parts) + 1
+        counted[0] = base + len(windows)
 
     counted = [0]
 

@@ -46,6 +46,11 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        alone, spaced, upper, lower = self._encode(["ab", "\n ab  cd ", "ÀB", "àb"])
+        if spaced != [*alone, *self._encode(["cd"])[0]]:
+            raise ValueError(f"{path}: ids depend on white space, which this tokenizer is made to drop")
+        #: Whether letters are folded by the tokenizer itself, so that they may be before.
+        self.folds = upper == lower
         mark = self._encode([f"a {MARK} a"])[0]
         self.mark = mark[1] if len(mark) == 3 and mark[0] == mark[2] != mark[1] else None
         self.known = pa.array([""], pa.large_string())
@@ -86,7 +91,7 @@ class WordTokenizer:
         parts = pc.extract_regex(words, PLAIN)
         plain = parts.is_valid()
         stems, tails = (pc.struct_field(parts, k).filter(plain) for k in (0, 1))
-        stems, tails, rest = pc.utf8_lower(stems).dictionary_encode(), tails.dictionary_encode(), words.filter(pc.invert(plain))
+        stems, tails, rest = (pc.utf8_lower(stems) if self.folds else stems).dictionary_encode(), tails.dictionary_encode(), words.filter(pc.invert(plain))
         units = pc.unique(pa.concat_arrays([stems.dictionary, tails.dictionary, rest]))
         place, ids, start = self.look_up(units)
         of = lambda x: place[pc.index_in(x, value_set=units).to_numpy()]
