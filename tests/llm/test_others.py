@@ -53,6 +53,84 @@ def test_source_headers(spark, tmp_path):
         assert lines[1 + len(want) :][: len(warcs)] == warcs if own else not any(x.startswith("source-warc") for x in lines)
 
 
+def derived(content, **more):
+    out = {r[1]: r for r in warc.derive("<r>", "u", "d", content, **more)}
+    return bytes(out["conversion"][-1]).decode() if "conversion" in out else None, bytes(out["metadata"][-1]).decode(), out
+
+
+def test_hostile_responses():
+    page = "<title>T</title><p>Caf\u00e9</p>"
+    head = lambda *h: ("HTTP/1.1 200 OK\r\n" + "".join(x + "\r\n" for x in h) + "\r\n").encode()
+    for odd in ("undefined", "idna", "rot13", "hex", "no-such", "punycode;", ""):
+        assert derived(head(f"Content-Type: text/html; charset={odd}") + page.encode())[0] is not None
+    assert derived(head("Content-Type: text/html; Charset=ISO-8859-1") + page.encode("latin-1"))[0] == "Caf\u00e9"
+    assert derived(head("Content-Type: text/html") + ('<meta charset="windows-1252">' + page).encode("cp1252"))[0] == "Caf\u00e9"
+    assert derived(head() + b"\xff\xfe" + page.encode("utf-16-le"))[0] == "Caf\u00e9"
+    # bare line feeds, chunks and codings
+    text, about, _ = derived(b"HTTP/1.1 200 OK\nServer: s\nContent-Type: text/html\n\n" + page.encode())
+    assert text == "Caf\u00e9" and "source-status: HTTP/1.1 200 OK\r\nsource-server: s\r\n" in about
+    body = page.encode() * 50
+    chunks = b"".join(b"%x;x=y\r\n%s\r\n" % (len(body[k : k + 100]), body[k : k + 100]) for k in range(0, len(body), 100)) + b"0\r\n\r\n"
+    text, _, out = derived(head("Transfer-Encoding: chunked") + chunks)
+    assert text == "\n".join(["Caf\u00e9"] * 50) and out["metadata"][7] == warc.digest(body)
+    import zlib
+
+    import zstandard
+
+    raw = zlib.compressobj(wbits=-15)
+    packed = {"gzip": gzip.compress(body), "x-gzip": body, "deflate": zlib.compress(body), "Deflate": raw.compress(body) + raw.flush(), "identity": body, "zstd": zstandard.compress(body)}
+    for coding, data in packed.items():
+        assert derived(head(f"Content-Encoding: {coding}") + data)[0] == text
+    assert derived(head("Content-Encoding: deflate, gzip") + gzip.compress(zlib.compress(body)))[0] == text
+    assert text.startswith(derived(head("Content-Encoding: gzip") + gzip.compress(body)[:-30])[0][:20])
+    assert derived(head("Content-Encoding: br") + b"\x01\x02")[0] is None
+    # types
+    assert derived(head("Content-Type: image/png") + b"\x89PNG\r\n\0")[0] is None and "source-content-type: image/png" in derived(head("Content-Type: image/png") + b"x")[1]
+    assert derived(head("Content-Type: text/plain") + b"a <b> c\n d")[0] == "a <b> c\n d" and derived(head("Content-Type: application/ld+json") + b"{}")[0] == "{}"
+    assert derived(b"\x89PNG\0\0")[0] is None and derived(b"")[0] == "" and derived(None)[0] == ""
+    stated = derived(head() + body, payload_digest="sha256:abc")[2]
+    assert stated["conversion"][7] == stated["metadata"][7] == "sha256:abc"
+
+
+def test_damaged_files():
+    record = lambda n: b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <%d>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n" % n
+    bad = b"WARC/1.1\r\nWARC-Record-ID: <x>\r\nContent-Length: many\r\n\r\nabc\r\n\r\n"
+    ids = lambda data: [r["record_id"] for r in warc.parse_records(data)]
+    assert ids(record(1) + bad + record(2)) == ["<1>", "<2>"] and ids(record(1) + record(2)[:-6]) == ["<1>"]
+    packed = gzip.compress(record(1)) + gzip.compress(record(2))
+    assert ids(packed[:-20]) == ["<1>"] and ids(packed + b"junk")[:2] == ["<1>", "<2>"]
+    out = warc.record_bytes({"type": "metadata", "record_id": "<m>", "date": "d", "refers_to": "<r>", "target_uri": "u", "block_digest": None, "payload_digest": None, "content_type": None, "content": b""}, False)
+    assert b"WARC-Refers-To: <r>\r\nWARC-Refers-To-Target-URI: u\r\nWARC-Refers-To-Date: d\r\n" in out
+
+
+def test_derivatives_by_force(spark, sf_dir):
+    """Every record of the query against one made another way."""
+    import base64
+    import hashlib
+    import re
+    import uuid
+    import zlib
+    from html import unescape
+
+    sha = lambda x: "sha1:" + base64.b32encode(hashlib.sha1(x).digest()).decode()
+    spaced = lambda x: " ".join(unescape(x).split())
+    want = []
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
+        h = hashlib.md5(f"{r.page_id}:{r.url}".encode()).hexdigest()
+        source = f"<urn:uuid:{uuid.UUID(h)}>"
+        payload = (r.html or "").encode()
+        shown = re.sub(r"<!--.*?-->|<(script|style|title)>.*?</\1>", "", r.html or "", flags=re.DOTALL)
+        blocks = re.split(r"</?(?!b>|i>|a>|a |br>|em>|strong>)[a-z][^>]*>", re.sub(r"<br>", " ", shown))
+        text = "\n".join(t for b in blocks if (t := spaced(re.sub(r"<[^>]*>", "", b))))
+        title = re.search(r"<title>(.*?)</title>", r.html or "", re.DOTALL)
+        links = re.findall(r'<a href="([^"]*)"', shown)
+        about = [("source-status", "HTTP/1.1 200 OK"), ("source-content-type", "text/html; charset=utf-8"), ("source-payload-digest", sha(payload)), ("source-length", len(payload)), ("title", spaced(title[1]) if title else ""), ("text-digest", sha(text.encode())), *[("outlink", unescape(x)) for x in links]]
+        for kind, form, block in (("metadata", "application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in about if v != "")), ("conversion", "text/plain; charset=utf-8", text)):
+            block = block.encode()
+            want.append((f"<urn:uuid:{uuid.uuid5(warc.SPACE, f'{kind}:{source}')}>", kind, source, r.url, queries.CRAWL_DATE, form, sha(block), sha(payload), len(block), zlib.crc32(block)))
+    assert sorted(map(tuple, queries.op1_warc_derivatives(spark, sf_dir).collect())) == sorted(want)
+
+
 # token rollups
 
 
@@ -93,6 +171,28 @@ def test_rollup(spark):
         rollup.apply("../x", first)
 
 
+def test_rollup_markers(spark):
+    """A commit is whole or not at all, and snapshots count what they hold once."""
+    path = new_folder(spark, "rollup")
+    rollup = token_rollup.TokenRollup(spark, path)
+    frame = lambda *rows: spark.createDataFrame(list(rows), token_rollup.CHANGES)
+    assert not rollup.compact()
+    rollup.fs.create(rollup._path("commits/1.json")).close()  # of a writer that died
+    assert rollup.committed() == [] and rollup.totals().collect() == []
+    assert rollup.apply("1", frame(change("insert", "a", 5))) and rollup.committed() == ["1"]
+    assert not rollup._mark("commits/1.json", {"batch": "1", "folder": "elsewhere"}) and totals(rollup) == {("a", "en", "v1"): (1, 5)}
+    want = 1
+    for k in range(2, 6):
+        assert rollup.compact() and not rollup.compact()
+        assert rollup.apply(str(k), frame(change("insert", "a", 5))) and not rollup.apply("1", frame(change("insert", "a", 5)))
+        want += 1
+        assert totals(token_rollup.TokenRollup(spark, path)) == {("a", "en", "v1"): (want, 5 * want)}
+    held = [s.getPath().getName() for s in rollup.fs.listStatus(rollup._path("deltas"))]
+    assert sorted(x.split("-")[0] for x in held) == ["4", "5"]  # the last snapshot's and what came after
+    rollup._mark(f"snapshots/{rollup.snapshot()['number'] + 1}.json", rollup.snapshot() | {"number": rollup.snapshot()["number"] + 1})
+    assert rollup.compact() and totals(rollup) == {("a", "en", "v1"): (5, 25)}
+
+
 def test_rollup_by_force(spark):
     rng = random.Random(3)
     rollup, want = token_rollup.TokenRollup(spark, new_folder(spark, "rollup")), collections.defaultdict(lambda: [0, 0])
@@ -116,6 +216,8 @@ def test_rollup_by_force(spark):
             want[s, "en", u][0] += 1
             want[s, "en", u][1] += m
         rollup.apply(str(batch), spark.createDataFrame(rows, token_rollup.CHANGES))
+        if batch == 1:
+            rollup.compact()
     assert totals(rollup) == {k: tuple(v) for k, v in want.items() if any(v)}
 
 
@@ -179,6 +281,37 @@ def test_page_shapes():
         assert html_extract.main_text(html).split("\n") == blocks
 
 
+#: What stays: sections and headings whose ids speak of something else, tags that never end, odd quotes and comments, formulas.
+STAYS = {
+    f'<article><h2 id="related-work">Related work</h2><p>{TEXT}</p><section id="discussion"><h2 id="side-effects">Effects</h2><p id="comment-on-method">{TEXT}</p></section></article>': ["Related work", TEXT, "Effects", TEXT],
+    f"<article><p title=it's>Hello don't stop</p><p>{TEXT}</p></article>": ["Hello don't stop", TEXT],
+    f"<article><p>one<!--> two</p><p>{TEXT}<!---> end</p></article>": ["one two", f"{TEXT} end"],
+    f"<article><p>{TEXT} <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math>.</p></article>": [f"{TEXT} x=2."],
+    f"<article><video src=a><p>{TEXT}</p><object data=b><p>Short.</p></article>": [TEXT, "Short."],
+    f'<article><p>{TEXT} <span class="ad">Buy <span>now</span>!</span>And on.</p><ins class="adsbygoogle">{JUNK}</ins><p><a class=skip-link href=x>Top</a> <span class="ad">unclosed<p>{TEXT}</p></article>': [f"{TEXT} And on.", "Top", TEXT],
+    f'<div class="post"><div class="entry-header"><h1>T</h1></div><div class="entry-content"><p>{TEXT}</p><pre><span class="comment"># of code</span></pre></div></div>': ["T", TEXT, "# of code"],
+    f'<article><p class="notice">{JUNK}</p><p>{TEXT}</p><div id="cookie-notice">{JUNK}</div><section id="comments"><p>{JUNK}</p></section><p id="ads">Of adverts.</p></article>': [TEXT, "Of adverts."],
+    f'<article><p>a < b and 1<2, a<b>c</b></p><p a"b\'c=d>{TEXT}</p><p><a href="x>unclosed quote</a></p></article>'.replace('href="x', "href='x"): ["a < b and 1<2, ac", TEXT, "unclosed quote"],
+    f"<article><p>{TEXT}</p><![CDATA[x]]><?php echo 1 ?></><p>End.</p></article>": [TEXT, "End."],
+}
+
+
+def test_what_stays():
+    for html, blocks in STAYS.items():
+        assert html_extract.main_text(html).split("\n") == blocks
+
+
+def test_hostile_pages():
+    """Markup that never ends, or nests without end, takes time in proportion to its length."""
+    import time
+
+    n = 1 << 20
+    for part in ("<p ", "<", "<a href='", '<p a="', "<!--", "<svg>", "<svg ", "</svg", "<script", "<title>", "<div>x", "<p><b>", "</section>", "<li>x<ul>", "<td><table>", "&#", "<![CDATA[", "<span class=ad>", "<center>", "<p>a, b<div>"):
+        start = time.perf_counter()
+        html_extract.main_text("<article><p>a, b</p>" + part * (n // len(part)))
+        assert time.perf_counter() - start < 10, part
+
+
 def test_pages_by_force(spark, sf_dir):
     """The pages of the tables are a heading and paragraphs in an article; read another way."""
     import re

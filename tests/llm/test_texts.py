@@ -221,6 +221,38 @@ def test_fill_rises():
     assert sum(sizes) % 4096 == 0 and len(windows) == sum(sizes) // 4096 + 1 and sum(map(len, windows)) == len(sizes)
 
 
+def test_fill_cuts_little():
+    """Short documents are whole while long ones can fill the windows; where nothing else helps, few are cut."""
+    rng = np.random.default_rng(6)
+    mixed = [int(x) for x in rng.integers(1, 3000, 900)] + [int(x) for x in rng.integers(4097, 30000, 40)]
+    cut = lambda sizes, windows: {i for w in windows for i, _, n in w if sizes[i] <= 4096 and n < sizes[i]}
+    windows = packing.fill(mixed, 4096, 0.01)
+    assert len(windows) <= 1.01 * sum(mixed) / 4096 + 1 and not cut(mixed, windows)
+    halves = [2500] * 400
+    windows = packing.fill(halves, 4096, 0.01)
+    assert len(windows) == 245 and len(cut(halves, windows)) < 250  # whole ones alone would take 400 windows
+    thirds = [1365] * 300 + [2] * 10
+    windows = packing.fill(thirds, 4096, 0.01)
+    assert len(windows) <= 101 and not cut(thirds, windows)
+
+
+def test_cased_tokenizer(tmp_path):
+    """Letters are folded only where the tokenizer folds them, and tokenizers to which white space matters are refused."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    words = ["[UNK]", "a", "b", "A", "B", "À", "à", "ab", "cd", "À"]
+    cased = Tokenizer(models.WordLevel({w: k for k, w in enumerate(dict.fromkeys(words))}, unk_token="[UNK]"))
+    cased.pre_tokenizer = pre_tokenizers.BertPreTokenizer()
+    cased.save(str(tmp_path / "cased.json"))
+    own = word_tokenizer(str(tmp_path / "cased.json"))
+    for text in ("A a b. B", "ab cd AB"):
+        assert own.encode(pa.array([text]))[0].tolist() == cased.encode(text).ids
+    cased.pre_tokenizer = pre_tokenizers.Split(" ", "isolated")
+    cased.save(str(tmp_path / "spaced.json"))
+    with pytest.raises(ValueError, match="white space"):
+        word_tokenizer(str(tmp_path / "spaced.json"))
+
+
 def test_pack(frame):
     from tokenizers import Tokenizer
 
@@ -313,6 +345,45 @@ def test_secrets(frame):
     assert secret_scan.scan_secrets(frame([])).collect() == []
 
 
+LONG = "Abcdefgh0123456789Abcdefgh0123456789ABCD"
+
+
+def test_secrets_that_complement_themselves(frame):
+    """An identifier alone, its own value or a part of a URL is no proof of a credential."""
+    alone = [f"client_id: {LONG}", "AKIA" + "Z9" * 20, f"user_id=bob https://h.example/{LONG}/x", "account_name=bob https://h.example/?sha=0123456789abcdef0123456789abcdef", f"{LONG} https://h.example"]
+    both = [f"client_id: {LONG} {LONG}", f"user_id=bob https://h.example/?token={LONG}", "AKIA" + "Z9" * 20 + " secret = abcdefgh"]
+    found = {r.doc_id: r.secrets for r in secret_scan.scan_secrets(frame([*alone, *both])).collect()}
+    for k in range(len(alone)):
+        assert found[k].scopes == [] and found[k]["all"] == found[k].base
+    names = lambda k: [secret_scan.KINDS[s.rank] for s in found[k]["all"]]
+    n = len(alone)
+    assert [names(n + k) for k in range(3)] == [["ident", "value"], ["ident", "endpoint", "assign"], ["access", "assign"]]
+    assert all(len(found[n + k].scopes) == 1 for k in range(3))
+
+
+def test_secrets_in_long_texts(frame):
+    """Many thousand spans of one text, in time about linear."""
+    import time
+
+    one = f"user_id=bob7 {LONG} https://h.example/x\n" + "a b c " * 120
+    took = []
+    for n in (1000, 8000):
+        start = time.perf_counter()
+        (r,) = secret_scan.redact(secret_scan.scan_secrets(frame([one * n]))).collect()
+        took.append(time.perf_counter() - start)
+        assert [s.start for s in r.secrets["all"]] == [k * len(one) + x for k in range(n) for x in (0, 13, 13 + len(LONG) + 1)]
+        assert len(r.secrets.scopes) == n and r.text == ("[SECRET] [SECRET] [SECRET]\n" + "a b c " * 120) * n
+    assert took[1] < 8 * 4 * max(took[0], 1)
+
+
+def test_clashing_steps(frame):
+    names = ["__found", "__scopes", "__linked", "__lines", "__rule"]
+    for f in (secret_scan.scan_secrets, license_scan.scan_licenses):
+        out = f(frame(["a secret: abcdefgh, all rights reserved."], **{n: n for n in names}))
+        assert out.columns[:-1] == ["doc_id", "text", "source", *names]
+        assert list(out.first())[3:-1] == names
+
+
 # licenses
 
 
