@@ -85,25 +85,41 @@ SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(
 
 
 def _license_sql() -> str:
-    values = ", ".join(f"({_q(v)}, {_q(k)})" for k, v in license_scan.SENTENCES.items())
+    """Three cuts of the texts; the third goes line by line, and paragraph by paragraph."""
+    rows = lambda pairs: ", ".join(f"({_q(a)}, {_q(b)})" for a, b in pairs)
     rules = ", ".join(f"({n}, {_q(r[0])}, {_q(r[1])}, {_q(r[2])}, {_q(',' + ',(?:[^,]+,)*'.join(r[3]) + ',')})" for n, r in enumerate(license_scan.RULES))
-    view = lambda name, breaks: f"""{name} AS (
+    tidy = lambda x: f"regexp_replace(lower({x}), '[^a-z0-9\\x01]+', ' ', 'g')"
+    found = lambda name, parts: f"""{name} AS (
     SELECT r, count(*) AS n, string_agg(id, ',' ORDER BY i) AS ids FROM (
-        SELECT r, unnest(parts) AS x, unnest(range(0, len(parts))) AS i FROM (SELECT r, string_split(regexp_replace(lower(regexp_replace(text, '{breaks}', chr(1), 'g')), '[^a-z0-9\\x01]+', ' ', 'g'), chr(1)) AS parts FROM d)
-    ) JOIN known ON sentence = trim(x) GROUP BY 1
+        SELECT r, i, coalesce(k.id, h.id, m.id) AS id FROM (
+            SELECT r, i, x, regexp_replace(x, {_q(license_scan.HOLDER)}, 'the name of holder may be used to endorse') AS y, regexp_extract(x, {_q(license_scan.NAMED)}, 1) AS z
+            FROM (SELECT r, trim(unnest(parts)) AS x, unnest(range(0, len(parts))) AS i FROM {parts})
+        ) LEFT JOIN known k ON k.sentence = x LEFT JOIN known h ON h.sentence = y LEFT JOIN named m ON m.name = z
+    ) WHERE id IS NOT NULL GROUP BY 1
 )"""
-    return f"""
+    cut = lambda breaks: f"(SELECT r, string_split({tidy(f"regexp_replace(text, '{breaks}', chr(1), 'g')")}, chr(1)) AS parts FROM d)"
+    return rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
-known(sentence, id) AS (VALUES {values}),
+known(sentence, id) AS (VALUES {rows(license_scan.KNOWN.items())}),
+named(name, id) AS (VALUES {rows((k, f"name-{v}") for k, v in license_scan.NAMES.items())}),
 rules(place, rule, license, kind, rx) AS (VALUES {rules}),
-{view("by_line", "[.!?;:]+[ \\t\\n\\x0B\\f\\r]+|\\n")},
-{view("wrapped", "[.!?;:]+[ \\t\\n\\x0B\\f\\r]+")},
-hits AS (SELECT r, min(place) AS place FROM (SELECT r, ids FROM by_line UNION ALL SELECT r, ids FROM wrapped) v JOIN rules ON regexp_matches(',' || ids || ',', rx) GROUP BY 1)
-SELECT doc_id,
-    CASE WHEN coalesce(wrapped.n, 0) > coalesce(by_line.n, 0) THEN wrapped.n ELSE coalesce(by_line.n, 0) END AS n_sentences,
-    CASE WHEN coalesce(wrapped.n, 0) > coalesce(by_line.n, 0) THEN wrapped.ids ELSE coalesce(by_line.ids, '') END AS sentence_ids,
-    rule, license, kind
-FROM d LEFT JOIN by_line USING (r) LEFT JOIN wrapped USING (r) LEFT JOIN hits USING (r) LEFT JOIN rules USING (place)
+{found("by_line", cut(r"[.!?;:]+[ \t\n\x0B\f\r]+|\n"))},
+{found("wrapped", cut(r"[.!?;:]+[ \t\n\x0B\f\r]+"))},
+bare AS (
+    SELECT r, list_transform(string_split(regexp_replace(text, '\r\n?|\x02', chr(10), 'g'), chr(10)), lambda x: CASE
+        WHEN regexp_matches(x, '^[^\pL\pN]*(?:(?:rem|dnl)[ \t]+[^\pL\pN]*)?(?:copyright\b.*(?:(?:19|20)[0-9][0-9]|\(c\)|©|\[yyyy\]|<year>)|\(c\)[ \t]*(?:19|20)[0-9][0-9]|©|(?:begin|end) license block)', 'i') THEN chr(2)
+        ELSE regexp_replace(regexp_replace(regexp_replace(x, '^[^\pL\pN]+', ''), '^(?:rem|dnl)(?:[ \t]+[^\pL\pN]*|$)', '', 'i'), '^[0-9][0-9]?\)[^\pL\pN]+', '') END) AS lines FROM d
+),
+paragraphs AS (
+    SELECT r, string_split_regex(regexp_replace(regexp_replace(array_to_string(lines, chr(10)), '\bv\.\s+([0-9])', 'v \1', 'gi'), 'spdx-license-identifier:([^\n\x02]*)', chr(2) || 'spdx license identifier \1' || chr(2), 'gi'), '\n\n+|\x02') AS parts
+    FROM bare
+),
+notices AS (SELECT r, flatten(list_transform(parts, lambda p: list_transform(string_split_regex(p, '[.!?;:]+\s+'), lambda x: {tidy("x")}))) AS parts FROM paragraphs),
+{found("headed", "notices")},
+hits AS (SELECT r, min(place) AS place FROM (SELECT r, ids FROM by_line UNION ALL SELECT r, ids FROM wrapped UNION ALL SELECT r, ids FROM headed) v JOIN rules ON regexp_matches(',' || ids || ',', rx) GROUP BY 1),
+best AS (SELECT r, max_by(n, (n, -place)) AS n, max_by(ids, (n, -place)) AS ids FROM (SELECT 1 AS place, * FROM by_line UNION ALL SELECT 2, * FROM wrapped UNION ALL SELECT 3, * FROM headed) GROUP BY 1)
+SELECT doc_id, coalesce(best.n, 0) AS n_sentences, coalesce(best.ids, '') AS sentence_ids, rule, license, kind
+FROM d LEFT JOIN best USING (r) LEFT JOIN hits USING (r) LEFT JOIN rules USING (place)
 """
 
 

@@ -492,6 +492,84 @@ def test_wrapped_notices(frame):
     assert [found[k].name for k in range(5)] == [None, None, "MPL-2.0", "GPL-3.0-or-later", "BSD-2-Clause"]
 
 
+#: Unaltered license files that come with the system and with Python packages, where they are at hand.
+FILES = {
+    "/usr/share/common-licenses": {"Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0-only", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-2": "LGPL-2.0-only", "LGPL-2.1": "LGPL-2.1-only", "LGPL-3": "LGPL-3.0-only", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"},
+    "numpy/random": {"LICENSE.md": "NCSA"},
+    "pyspark/licenses": {"LICENSE-CC0.txt": "CC0-1.0", "LICENSE-cloudpickle.txt": "BSD-3-Clause", "LICENSE-py4j.txt": "BSD-3-Clause", "LICENSE-sbt-launch-lib.txt": "BSD-3-Clause", "LICENSE-bootstrap.txt": "MIT", "LICENSE-mustache.txt": "MIT", "LICENSE-json-formatter.txt": "Apache-2.0", "LICENSE-modernizr.txt": "MIT", "LICENSE-AnchorJS.txt": "MIT", "LICENSE-d3.min.js.txt": "ISC", "LICENSE-graphlib-dot.txt": "MIT", "LICENSE-dagre-d3.txt": "MIT"},
+    "packaging-*/licenses": {"LICENSE.APACHE": "Apache-2.0", "LICENSE.BSD": "BSD-2-Clause"},
+    "urllib3-*/licenses": {"LICENSE.txt": "MIT"},
+    "zstandard-*/licenses": {"LICENSE": "BSD-3-Clause"},
+    "certifi-*/licenses": {"LICENSE": "MPL-2.0"},
+    "requests-*/licenses": {"LICENSE": "Apache-2.0"},
+    "pyahocorasick-*/licenses": {"LICENSE": "BSD-3-Clause"},
+    "psutil-*": {"LICENSE": "BSD-3-Clause"},
+    "xxhash-*": {"LICENSE": "BSD-2-Clause"},
+    "tiktoken-*/licenses": {"LICENSE": "MIT"},
+}
+
+
+def license_files():
+    import glob
+    import os
+    import site
+
+    for folder, names in FILES.items():
+        for place in glob.glob(os.path.join(next(p for p in site.getsitepackages()), folder)):
+            for name, want in names.items():
+                if os.path.exists(path := os.path.join(place, name)):
+                    with open(path, encoding="utf-8") as f:
+                        yield path, f.read(), want
+
+
+def test_license_files(frame, tmp_path):
+    """Whole license files, as they stand, with their lines joined, and as comments; and the SQL on the same texts."""
+    import duckdb
+
+    from canonflow.llm import oracle
+
+    found = list(license_files())
+    joined = lambda t: re.sub(r"(?<=\S)\n(?=[ \t]*\S)(?![ \t]*(?:[Cc]opyright|[-=*]))", " ", t)
+    texts = [t for _, t, _ in found] + ["".join(" * " + x + "\n" for x in t.split("\n")) for _, t, _ in found] + [joined(t) for _, t, w in found if w == "MIT"]
+    want = [w for *_, w in found] * 2 + [w for *_, w in found if w == "MIT"]
+    rows = {r.doc_id: r.license for r in license_scan.scan_licenses(frame(texts)).collect()}
+    wrong = {(k, (found * 2)[k][0] if k < 2 * len(found) else "", want[k]): rows[k].name for k in range(len(texts)) if rows[k].name != want[k]}
+    assert not wrong
+    frame(texts).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    sql = {r[0]: r[1:] for r in con.execute(f"SELECT doc_id, sentence_ids, rule, license, kind FROM ({oracle.ORACLE['op9_license_scan']})").fetchall()}
+    assert sql == {k: (",".join(r.sentence_ids), r.rule, r.name, r.kind) for k, r in rows.items()}
+
+
+def test_license_mentions(frame):
+    """Names after the usual verbs, headers of the GNU licenses, and words that only look like them."""
+    gnu = "{} is free software; you can redistribute it and/or\nmodify it under the terms of the GNU {} Public License as published\nby the Free Software Foundation; {}.\n\n{} is distributed in the hope"
+    texts = {
+        "SPDX-License-Identifier: GPL-2.0-or-later": "GPL-2.0-or-later",
+        "/* SPDX-License-Identifier: LGPL-2.1-only */\nint x;": "LGPL-2.1-only",
+        "# SPDX-License-Identifier: BSD-3-Clause": "BSD-3-Clause",
+        "This project is licensed under the terms of the MIT license.": "MIT",
+        "Licensed under the Boost Software License, Version 1.0.": "BSL-1.0",
+        "The documentation is licensed under CC BY-SA 4.0.": "CC-BY-SA-4.0",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "CC-BY-SA-4.0",
+        "This Font Software is licensed under the SIL Open Font License, Version 1.1.": "OFL-1.1",
+        "It is distributed under the GNU Affero General Public License, version 3 or later.": "AGPL-3.0-or-later",
+        "Released under the GPLv3.": "GPL-3.0-only",
+        "Foo is released under the Eclipse Public License 2.0.": "EPL-2.0",
+        gnu.format("Foo", "General", "either version 2 of the License, or (at your option) any later version", "Foo"): "GPL-2.0-or-later",
+        gnu.format("This library", "Lesser General", "either\nversion 2.1 of the License, or (at your option) any later version", "It"): "LGPL-2.1-or-later",
+        gnu.format("This program", "Affero General", "either version 3 of the License, or (at your option) any later version", "It"): "AGPL-3.0-or-later",
+        gnu.format("Foo", "General", "version 2 of the License", "Foo"): "GPL-2.0-only",
+        "This is free and unencumbered software released into the public domain.": "Unlicense",
+        "The drugs were released under the counter. He is licensed under the sea.": None,
+        "The MIT is in Boston. Apache 2.0 is a helicopter of version 2.": None,
+    }
+    found = {r.doc_id: r.license.name for r in license_scan.scan_licenses(frame(list(texts))).collect()}
+    assert [found[k] for k in range(len(texts))] == list(texts.values())
+    assert len({r[1] for r in license_scan.RULES}) > 90 and all(any(a in s for a in license_scan.ANCHORS) for s in license_scan.KNOWN)
+
+
 # sharding
 
 
