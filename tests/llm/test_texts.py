@@ -166,6 +166,40 @@ def test_contamination_edges(spark, frame):
     assert kept.columns == ["doc_id", "text", "source"] and [r.text for r in kept.collect()] == ["another one"]
 
 
+def test_suffix_array():
+    """The array is in the order of its suffixes, and a search finds the longest match of every test suffix, however short, and all places of its windows."""
+    rng = np.random.default_rng(3)
+    for n, kinds in ((60, 2), (300, 5), (400, 200)):
+        texts = [" ".join(f"w{x}" for x in rng.integers(0, kinds, int(rng.integers(0, n)))) for _ in range(4)] + ["w0 " * 50, ""]
+        words = decontaminate.words_of(texts)
+        array = decontaminate.SuffixArray(words.hash, words.first, 4)
+        marked = [x for k in range(len(texts)) for x in [*words.hash[words.first[k] : words.first[k + 1]].tolist(), -1]]
+        begin = lambda i, m=marked: m[i : i + 16]
+        assert sorted(array.array.tolist()) == list(range(len(marked)))
+        assert all(begin(a) <= begin(b) for a, b in zip(array.array.tolist(), array.array[1:].tolist(), strict=False))
+        items = [" ".join(texts[0].split()[5:40]) + " new w1 w0 w1", "w0 " * 20, "w1 new w0"]
+        test = decontaminate.TestSuffixes([(str(k), x) for k, x in enumerate(items)], 13)
+        _, place, shared = array.search(test.hashes)
+        ours = test.hashes.tolist()
+        for j in range(len(ours)):
+            def common(i, j=j):
+                k = 0
+                while ours[j + k] and i + k < len(marked) and ours[j + k] == marked[i + k]:
+                    k += 1
+                return k
+            assert shared[j] == max(map(common, range(len(marked)))) == common(int(array.array[place[j]]))
+        at, suffix = test.locations(array)
+        want = {(i, j) for j in range(len(ours)) if ours[j] and test.left[j] >= test.widths[j] for i in range(len(marked)) if ours[j : j + test.widths[j]] == marked[i : i + test.widths[j]]}
+        assert set(zip(at.tolist(), suffix.tolist(), strict=True)) == want and len(at) == len(want)
+
+
+def test_items_without_an_id(spark, frame):
+    items = spark.createDataFrame([(None, "one two three"), (None, "four five"), ("null", "six seven")], "item_id string, text string")
+    rows = decontaminate.find_contamination(frame(["one two three four five six seven", "six seven", "four five"]), items).orderBy("doc_id").collect()
+    digest = lambda *ids: hashlib.sha256(",".join(ids).encode()).hexdigest()
+    assert [(r.contamination.n_items, r.contamination.items_sha256) for r in rows] == [(2, digest("", "null")), (1, digest("null")), (1, digest(""))]
+
+
 def test_hash_collisions():
     """A match whose words only share a hash is no match."""
     index = decontaminate.TestSuffixes([("1", "one two three")], 2)
