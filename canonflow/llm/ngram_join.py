@@ -10,9 +10,13 @@ one class, so copies cost one row.  Then:
    share a shingle of their prefixes, in this and in every other order.  With
    l - 1 shingles more, they share l: a set that has fewer shingles in common
    with others than any partner would need drops out.
-2. Sets that share a shingle of the prefix form a group.  Groups that touch are brought
-   together under one label while they stay small, so that a set travels about
-   once.  A shingle with more sets than `block` is dealt into blocks.
+2. Sets that share a shingle of the prefix form a group.  Sets with a shingle
+   that more than `block` sets share are grouped by their prefixes in order 2
+   as well, and where those are shared by as many, in order 3: linked sets meet
+   in each order, so a pair whose shared shingles are all frequent in one order
+   meets in the next.  Only a group that is frequent in all three is dealt into
+   blocks.  Groups that overlap are brought together under one label while they
+   stay small, so that a set travels about once.
 3. In a task, a pair is verified only if its prefixes meet in all three
    orders; pairs that other links already connect need no verification.
 4. For shingles dealt into blocks, every set outside the shingle's largest
@@ -32,18 +36,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .state import keep
+from .state import discard, keep, unused
 from .words import SPACED_LOWER, Words, mix, shards, windows
 
 BUCKET_BITS = 18
 CHUNK = 1024
 FILTER_BITS = 26
+#: Parts among which the rows of a shingle in a heavy bucket are dealt before they are counted.
+SALTS = 64
+#: A bucket is heavy above so many counts, and so many times the mean.
+HEAVY, HEAVY_MEAN = 1024, 16
+#: Salts of the orders 2 and 3, permutations of all 64-bit numbers.
+ORDERS = (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
+#: Sets that differ but share a key; one in 2**64 pairs does.
+COLLISIONS = 100_000
 
 
-def class_key(shingles: np.ndarray) -> int:
-    """64-bit key of a sorted set."""
-    total = np.add.reduce(mix(shingles ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64, keepdims=True)
-    return int(mix(total + np.uint64(len(shingles))).view(np.int64)[0])
+def class_keys(shingles: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit keys of a sorted set."""
+    size = np.uint64(len(shingles))
+    totals = [np.add.reduce(mix(shingles ^ np.uint64(salt)), dtype=np.uint64, keepdims=True) for salt in (0x5851F42D4C957F2D, 0x2545F4914F6CDD1D)]
+    return tuple(int(mix(t + size).view(np.int64)[0]) for t in totals)
+
+
+def class_key(shingles: np.ndarray, collided: frozenset) -> int:
+    """The key of a sorted set; the second one, if the first is shared by different sets."""
+    one, two = class_keys(shingles)
+    return two if one in collided else one
 
 
 def sets_of(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -77,15 +96,16 @@ def bucket(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
+def permuted_prefix(found: np.ndarray, p: int, salt: int) -> np.ndarray:
+    """The first p shingles of a set in the order of a permutation."""
+    return found[np.argpartition(mix(found ^ np.uint64(salt)), p - 1)[:p]] if p < len(found) else found
+
+
 def prefixes(found: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The prefixes of a set in the three orders: by count, and by two permutations of all 64-bit numbers."""
     p = prefix_length(len(found), percent)
     one = found[np.lexsort((found, counts[bucket(found)]))[:p]]
-    rest = []
-    for salt in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB):
-        key = mix(found ^ np.uint64(salt))
-        rest.append(found[np.argpartition(key, p - 1)[:p]] if p < len(found) else found)
-    return one, *rest
+    return one, *[permuted_prefix(found, p, salt) for salt in ORDERS]
 
 
 def _batch(fields: list[tuple[str, pa.DataType]], columns: list) -> pa.RecordBatch:
@@ -94,27 +114,27 @@ def _batch(fields: list[tuple[str, pa.DataType]], columns: list) -> pa.RecordBat
 
 def scan(n: int):
     """First pass: a row per document, and the counts of the task's buckets (once for each set that it meets)."""
-    fields = [("doc_id", pa.int64()), ("key", pa.int64()), ("size", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())]
+    fields = [("doc_id", pa.int64()), ("key", pa.int64()), ("second", pa.int64()), ("size", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, met = np.zeros(1 << BUCKET_BITS, np.int64), set()
         for batch in batches:
-            sizes, keys = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            sizes, keys = np.zeros(batch.num_rows, np.int64), np.zeros((2, batch.num_rows), np.int64)
             for row, found in sets_of(batch.column(1), n):
                 sizes[row] = len(found)
                 if len(found):
-                    keys[row] = key = class_key(found)
-                    if key not in met:
-                        met.add(key)
+                    keys[:, row] = both = class_keys(found)
+                    if both not in met:
+                        met.add(both)
                         np.add.at(counts, bucket(found), 1)
             none = pa.nulls(batch.num_rows)
-            yield _batch(fields, [batch.column(0), pa.array(keys, mask=sizes == 0), sizes, none.cast(pa.int32()), none.cast(pa.binary())])
+            yield _batch(fields, [batch.column(0), *[pa.array(k, mask=sizes == 0) for k in keys], sizes, none.cast(pa.int32()), none.cast(pa.binary())])
         if met:
             parts = counts.reshape(-1, CHUNK)
             none = pa.nulls(len(parts), pa.int64())
-            yield _batch(fields, [none, none, none, np.arange(len(parts), dtype=np.int32), [x.tobytes() for x in parts]])
+            yield _batch(fields, [none, none, none, none, np.arange(len(parts), dtype=np.int32), [x.tobytes() for x in parts]])
 
-    return run, "doc_id long, key long, size long, chunk int, counts binary"
+    return run, "doc_id long, key long, second long, size long, chunk int, counts binary"
 
 
 def _sum_counts(part: pa.Table) -> pa.Table:
@@ -124,16 +144,17 @@ def _sum_counts(part: pa.Table) -> pa.Table:
     return pa.table({"chunk": part.column("chunk").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
 
 
-def _postings(n: int, percent: int, counts: np.ndarray):
-    """Second pass: the longer order-1 prefix of each set, once in a task. code: twice the shingles that the set must share, plus 1 in the prefix proper."""
-    fields = [("token", pa.int64()), ("key", pa.int64()), ("code", pa.int32())]
+def _postings(n: int, percent: int, counts: np.ndarray, collided: frozenset):
+    """Second pass: the longer order-1 prefix of each set, once in a task. code: twice the shingles that the set must share, plus 1 in the prefix proper; salt: a part of the rows of a shingle that may be frequent, else 0."""
+    fields = [("token", pa.int64()), ("salt", pa.int32()), ("key", pa.int64()), ("code", pa.int32())]
+    heavy = counts > max(HEAVY, HEAVY_MEAN * counts.mean())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met = set()
         for batch in batches:
             out: list[tuple] = []
             for _, found in sets_of(batch.column(0), n):
-                if len(found) and (key := class_key(found)) not in met:
+                if len(found) and (key := class_key(found, collided)) not in met:
                     met.add(key)
                     size = len(found)
                     p = prefix_length(size, percent)
@@ -141,18 +162,33 @@ def _postings(n: int, percent: int, counts: np.ndarray):
                     one = found[np.lexsort((found, counts[bucket(found)]))[:longer]]
                     code = np.full(len(one), 2 * shared_least((percent * size + 99) // 100, percent), np.int32)
                     code[:p] += 1
-                    out.append((one.view(np.int64), np.full(len(one), key, np.int64), code))
+                    salt = heavy[bucket(one)] * np.int32(1 + key % SALTS)
+                    out.append((one.view(np.int64), salt.astype(np.int32), np.full(len(one), key, np.int64), code))
             if out:
-                yield _batch(fields, [np.concatenate([x[k] for x in out]) for k in range(3)])
+                yield _batch(fields, [np.concatenate([x[k] for x in out]) for k in range(4)])
+
+    return run, "token long, salt int, key long, code int"
+
+
+def _ordered(percent: int, salt: int):
+    """The shingles of the prefix of each set (key, shingles) in the order of a permutation."""
+    fields = [("token", pa.int64()), ("key", pa.int64())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.frombuffer(x.as_py(), np.uint64) for x in batch.column(1)]
+            found = [permuted_prefix(x, prefix_length(len(x), percent), salt) for x in sets]
+            if found:
+                yield _batch(fields, [np.concatenate(found).view(np.int64), np.repeat(batch.column(0).to_numpy(), [len(x) for x in found])])
 
-    return run, "token long, key long, code int"
+    return run, "token long, key long"
 
 
 def _filter_bit(key: int, doc_id: int | None) -> int:
     return (key ^ (-1 if doc_id is None else doc_id) * 0x9E3779B1) & ((1 << FILTER_BITS) - 1)
 
 
-def _wanted_sets(n: int, bits: np.ndarray):
+def _wanted_sets(n: int, bits: np.ndarray, collided: frozenset):
     """Third pass: the sets of the documents whose bit is set, once in a task."""
     fields = [("key", pa.int64()), ("shingles", pa.binary())]
 
@@ -162,7 +198,7 @@ def _wanted_sets(n: int, bits: np.ndarray):
             ids = batch.column(0).to_pylist()
             keys, found_sets, held = [], [], 0
             for row, found in sets_of(batch.column(1), n):
-                if not len(found) or (key := class_key(found)) in met:
+                if not len(found) or (key := class_key(found, collided)) in met:
                     continue
                 at = _filter_bit(key, ids[row])
                 if bits[at >> 3] >> (at & 7) & 1:
@@ -256,7 +292,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
-        edges = keep(small, "edges")
+        old, edges = edges, keep(small, "edges")
+        discard(old)
         # no change once every key has one edge, to a key that has none; the sum of edges is fixed then
         state = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         if tuple(state) == total:
@@ -266,87 +303,125 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("key"), F.col("b").alias("label")).union(own)
 
 
-def ngram_jaccard_join(documents: DataFrame, n: int = 4, percent: int = 85, block: int = 512, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def ngram_jaccard_join(documents: DataFrame, n: int = 4, percent: int = 85, block: int = 256, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, class_key, component_id (the smallest doc_id that links reach, itself included).
 
     Null and blank texts have no shingles, a null class_key and link with nothing: component_id is their own doc_id. Rows with
     the same or no doc_id stay rows; a component whose ids are all null has a null component_id. Other columns are not read.
-    An empty table gives an empty result. Shingles and sets are compared as 64-bit hashes.
+    An empty table gives an empty result. Shingles are compared as 64-bit hashes, whole sets as 128-bit ones.
     """
     docs = documents.select(documents[id_column].cast("long").alias("doc_id"), documents[text_column].cast("string").alias("text"))
     texts = docs.select("text").where("text IS NOT NULL")
     run, schema = scan(n)
     first = keep(docs.mapInArrow(run, schema), "scan")
-    rows = first.where("chunk IS NULL").select("doc_id", "key", "size")
+    rows, classes, collided = _classes(first.where("chunk IS NULL").select("doc_id", "key", "second", "size"))
     counts = np.zeros((1 << BUCKET_BITS) // CHUNK * CHUNK, np.int64).reshape(-1, CHUNK)
     summed = first.where("chunk IS NOT NULL").select("chunk", "counts").groupBy("chunk").applyInArrow(_sum_counts, "chunk int, counts binary")
     for x in summed.collect():  # 256 rows at any size of input
         counts[x.chunk] = np.frombuffer(x.counts, np.int64)
     counts = np.minimum(counts.reshape(-1), 2**31 - 1).astype(np.int32)
 
-    run, schema = _postings(n, percent, counts)
+    run, schema = _postings(n, percent, counts, collided)
     postings = keep(_shared_only(texts.mapInArrow(run, schema)), "shared")
     # a set that shares too little goes, and then shingles that nobody else has any more
     for _ in range(2):
         enough = postings.groupBy("key").agg(F.count("*").alias("n"), F.max(F.shiftright("code", 1)).alias("need")).where("n >= need").select("key")
-        postings = _counted(postings.join(enough, "key", "left_semi").select("token", "key", "code"))
-    postings = keep(_counted(postings.where("code % 2 = 1").select("token", "key", "code")).select("token", "key", "members"), "postings")
-    deals = F.ceil(F.col("members") / F.lit(block)).cast("long")
-    dealt = postings.withColumn("deal", F.when(F.col("members") > block, F.pmod(F.xxhash64("key", F.lit(11)), deals)).otherwise(F.lit(0).cast("long")))
-    groups = _labelled(dealt, block)
-
-    chosen = rows.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    bits = _key_filter(groups.select("key").distinct().join(chosen, "key"))
-    run, schema = _wanted_sets(n, bits)
+        postings = _replaced(postings, keep(postings.join(enough, "key", "left_semi").select("token", "key", "code"), "enough"))
+        postings = _replaced(postings, keep(_counted(postings), "counted"))
+    postings = _replaced(postings, keep(postings.where("code % 2 = 1").select("token", "key"), "proper"))
+    postings = _replaced(postings, keep(_counted(postings), "postings"))
+
+    bits = _key_filter(postings.select("key").distinct().join(classes.select("key", "least"), "key"))
+    run, schema = _wanted_sets(n, bits, collided)
     sets = docs.where("text IS NOT NULL").mapInArrow(run, schema).groupBy("key").agg(F.first("shingles").alias("shingles"))
+    sets = keep(sets, "sets")
+    groups, hot = [_labelled(postings.where(F.col("members") <= block), block)], postings.where(F.col("members") > block)
+    for salt in ORDERS:
+        if hot.isEmpty():
+            break
+        run, schema = _ordered(percent, salt)
+        there = keep(sets.join(hot.select("key").distinct(), "key", "left_semi").mapInArrow(run, schema), "order")
+        there = _replaced(there, keep(_counted(there), "postings"))
+        groups.append(_labelled(there.where(F.col("members") <= block), block))
+        hot = there.where(F.col("members") > block)
+    if some := not hot.isEmpty():
+        deals = F.ceil(F.col("members") / F.lit(block)).cast("long")
+        groups.append(_labelled(hot.withColumn("deal", F.pmod(F.xxhash64("key", F.lit(11)), deals)), block))
+    every = groups[0]
+    for x in groups[1:]:
+        every = every.union(x)
     run, schema = _verify(counts, percent)
     none = F.lit(None).cast("long")
-    links = keep(groups.join(sets, "key").select("task", "key", "shingles", none.alias("side"), none.alias("label")).groupBy("task").applyInArrow(run, schema), "links")
-    hot = keep(postings.where(F.col("members") > block), "hot")
+    links = keep(every.join(sets, "key").select("task", "key", "shingles", none.alias("side"), none.alias("label")).groupBy("task").applyInArrow(run, schema), "links")
     labels = components(links)
-    if not hot.isEmpty():
+    if some:
         links = keep(links.union(_across(hot, labels, sets, counts, percent, block)), "links")
         labels = components(links)
     labels = keep(labels, "labels")
-    by_class = rows.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("least")).join(labels, "key", "left").select("key", "least", F.coalesce("label", "key").alias("label"))
+    by_class = classes.join(labels, "key", "left").select("key", "least", F.coalesce("label", "key").alias("label"))
     by_label = by_class.groupBy("label").agg(F.min("least").alias("component_id"))
     by_class = keep(by_class.join(by_label, "label").select("key", "component_id"), "classes")
+    discard(sets)
     found = rows.where("key IS NOT NULL").join(by_class, "key").select("doc_id", F.col("size").alias("n_shingles"), F.col("key").alias("class_key"), "component_id")
     return found.unionByName(rows.where("key IS NULL").select("doc_id", F.col("size").alias("n_shingles"), F.col("key").alias("class_key"), F.col("doc_id").alias("component_id")))
 
 
+def _replaced(old: DataFrame, new: DataFrame) -> DataFrame:
+    discard(old)
+    return new
+
+
+def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame, frozenset]:
+    """(rows with their class's key, (key, least doc_id) of each class, first keys that different sets share, whose second key counts)."""
+
+    def by_key(rows: DataFrame) -> DataFrame:
+        return keep(rows.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("least"), F.min("second").alias("low"), F.max("second").alias("high")), "least")
+
+    classes = by_key(rows)
+    met = classes.where("low <> high").select("key").limit(COLLISIONS + 1).collect()
+    if len(met) > COLLISIONS:
+        raise ValueError("more sets share a 64-bit key than chance explains")
+    collided = frozenset(r.key for r in met)
+    if collided:
+        rows = rows.withColumn("key", F.when(F.col("key").isin(sorted(collided)), F.col("second")).otherwise(F.col("key")))
+        classes = by_key(rows)
+    return rows, classes, collided
+
+
 def _counted(postings: DataFrame) -> DataFrame:
-    """With members, the number of sets of a shingle, for shingles that two sets or more have."""
-    return postings.withColumn("members", F.count("*").over(Window.partitionBy("token"))).where("members > 1")
+    """With members, the number of sets of a shingle, for shingles that two sets or more have. Sums meet, not rows; the join is written alone, so a hot shingle's rows can be split."""
+    members = postings.groupBy("token").agg(F.count("*").alias("members")).where("members > 1")
+    return postings.drop("members").join(members, "token")
 
 
 def _shared_only(postings: DataFrame) -> DataFrame:
-    """Shingles of one set, most of all, go in one exchange. A set has one row for each of its many shingles, so that even a
-    shingle of all sets is a small part of the rows."""
-    return _counted(postings.repartition("token").groupBy("token", "key").agg(F.max("code").alias("code")))
+    """Shingles of one set, most of all, go in one exchange; the rows of those that may be frequent are dealt by their salt, and go later."""
+    once = postings.repartition("token", "salt").groupBy("token", "salt", "key").agg(F.max("code").alias("code"))
+    return once.withColumn("members", F.count("*").over(Window.partitionBy("token", "salt"))).where("members > 1 OR salt > 0").select("token", "key", "code")
 
 
 def _labelled(dealt: DataFrame, block: int) -> DataFrame:
-    """(task, key): every group of `dealt` lies within a task, of at most about `block` sets."""
-    dealt = dealt.select(F.xxhash64("token", "deal").alias("part"), "key", "members")
-    small = dealt.where(F.col("members") <= block)
+    """(task, key): every group of `dealt` (token, key, and deal if it is dealt) lies within a task, of at most about `block` sets."""
+    part = F.xxhash64("token", "deal") if "deal" in dealt.columns else F.xxhash64("token")
+    dealt = dealt.select(part.alias("part"), "key")
     # two steps of the smallest key: a group's smallest, then the smallest over a set's groups
-    least = small.groupBy("part").agg(F.min("key").alias("least"))
-    label = small.join(least, "part").groupBy("key").agg(F.min("least").alias("label"))
+    least = dealt.groupBy("part").agg(F.min("key").alias("least"))
+    label = dealt.join(least, "part").groupBy("key").agg(F.min("least").alias("label"))
     # a group goes where its smallest label says
-    home = small.join(label, "key").groupBy("part").agg(F.min("label").alias("task"))
-    placed = keep(small.join(home, "part").select("part", "task", "key"), "placed")
+    home = dealt.join(label, "key").groupBy("part").agg(F.min("label").alias("task"))
+    placed = keep(dealt.join(home, "part").select("part", "task", "key"), "placed")
     rows = placed.select("task", "key").distinct()
     sizes = rows.groupBy("task").agg(F.count("*").alias("n"))
-    fits = rows.join(sizes.where(F.col("n") <= 2 * block), "task", "left_semi")
-    alone = placed.join(sizes.where(F.col("n") > 2 * block), "task", "left_semi").select(F.xxhash64("part", F.lit(3)).alias("task"), "key")
-    hot = dealt.where(F.col("members") > block).select(F.xxhash64("part", F.lit(5)).alias("task"), "key")
-    return keep(fits.select(F.xxhash64("task", F.lit(1)).alias("task"), "key").union(alone).union(hot).distinct(), "tasks")
+    fits = rows.join(sizes.where(F.col("n") <= block + block // 2), "task", "left_semi")
+    alone = placed.join(sizes.where(F.col("n") > block + block // 2), "task", "left_semi").select(F.xxhash64("part", F.lit(3)).alias("task"), "key")
+    out = keep(fits.select(F.xxhash64("task", F.lit(1)).alias("task"), "key").union(alone).distinct(), "tasks")
+    discard(placed)
+    return out
 
 
 def _key_filter(wanted: DataFrame) -> np.ndarray:
-    """A bit for each wanted (key, doc_id) modulo 2**26, 8 MB at any size of input; it may let a set pass that no task wants, never the other way."""
-    scaled = (F.coalesce("doc_id", F.lit(-1)).cast("decimal(20,0)") * F.lit(0x9E3779B1)) % F.lit(1 << 32)  # as in _filter_bit, without overflow
+    """A bit for each wanted (key, least doc_id) modulo 2**26, 8 MB at any size of input; it may let a set pass that no task wants, never the other way."""
+    scaled = (F.coalesce("least", F.lit(-1)).cast("decimal(20,0)") * F.lit(0x9E3779B1)) % F.lit(1 << 32)  # as in _filter_bit, without overflow
     at = F.col("key").bitwiseXOR(scaled.cast("long")).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
     chunks = wanted.select(F.shiftright(at, 16).cast("int").alias("chunk"), at.bitwiseAND(F.lit(0xFFFF)).cast("int").alias("at")).distinct().groupBy("chunk").applyInArrow(_bits, "chunk int, bits binary")
     out = np.zeros((1 << FILTER_BITS) >> 3, np.uint8).reshape(-1, (1 << 16) >> 3)
@@ -373,6 +448,7 @@ def _across(hot: DataFrame, labels: DataFrame, sets: DataFrame, counts: np.ndarr
 def keep_one(documents: DataFrame, joined: DataFrame) -> DataFrame:
     """The rows of `documents` (doc_id, text, ...) whose doc_id is the smallest of its component; of rows that repeat such a doc_id and its text, one. Rows without a doc_id stay, since no other row can be told to stand for them."""
     chosen = joined.where("component_id IS NOT NULL").select(F.col("component_id").alias("doc_id")).distinct()
-    once = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
-    kept = documents.join(chosen, "doc_id", "left_semi").withColumn("__place", F.row_number().over(once)).where("__place = 1").drop("__place")
+    place = unused(documents, "__place")
+    once = Window.partitionBy("doc_id", F.xxhash64("text"), F.xxhash64(F.lit(7), "text")).orderBy("doc_id")
+    kept = documents.join(chosen, "doc_id", "left_semi").withColumn(place, F.row_number().over(once)).where(F.col(place) == 1).drop(place)
     return kept.unionByName(documents.where("doc_id IS NULL"))

@@ -54,4 +54,12 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it again: lineage is cut, and a lost executor costs nothing that is written."""
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.kept_in = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes what keep() wrote, once all that was made of it is written itself."""
+    fs, p = hadoop_path(df.sparkSession, df.kept_in)
+    fs.delete(p, True)

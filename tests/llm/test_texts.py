@@ -96,6 +96,28 @@ def test_ngram_join(frame, block):
     assert [found[i] for i in range(len(texts))] == components_by_force(texts)
 
 
+def test_ngram_join_of_frequent_shingles(frame, monkeypatch):
+    """Texts made of few common sentences, so that shingles are frequent in every order; and buckets that count as heavy."""
+    rng = np.random.default_rng(8)
+    common = [prose(900 + k, 9) for k in range(12)]
+    texts = [" ".join(common[x] for x in rng.choice(12, 8, False)) for _ in range(120)]
+    texts += [t.replace("alpha", "alpha2", 1) for t in texts[:40]] + [" ".join([*common[:6], f"tail{k}"]) for k in range(60)]
+    monkeypatch.setattr(ngram_join, "HEAVY", 1)
+    monkeypatch.setattr(ngram_join, "HEAVY_MEAN", 0)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_jaccard_join(frame(texts), block=8).collect()}
+    assert [found[i] for i in range(len(texts))] == components_by_force(texts)
+
+
+def test_classes_that_share_a_key(spark):
+    """Different sets with one first key go by the second."""
+    rows = spark.createDataFrame([(4, 5, 10, 9), (2, 5, 11, 9), (3, 5, 10, 9), (1, 6, 12, 2), (9, None, None, 0)], "doc_id long, key long, second long, size long")
+    rows, classes, collided = ngram_join._classes(rows)
+    assert collided == {5} and sorted((r.doc_id, r.key) for r in rows.where("key IS NOT NULL").collect()) == [(1, 6), (2, 11), (3, 10), (4, 10)]
+    assert sorted((r.key, r.least) for r in classes.collect()) == [(6, 1), (10, 3), (11, 2)]
+    one, two = ngram_join.class_keys(np.arange(5, dtype=np.uint64))
+    assert one != two and ngram_join.class_key(np.arange(5, dtype=np.uint64), frozenset([one])) == two and ngram_join.class_key(np.arange(5, dtype=np.uint64), collided) == one
+
+
 def test_ngram_join_edges(frame):
     assert ngram_join.ngram_jaccard_join(frame([])).collect() == []
     rows = ngram_join.ngram_jaccard_join(frame(["a b c d e", "a b c d e", "", None, "x"], ids=[None, 7, None, 3, 3], key="k")).collect()
