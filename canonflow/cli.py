@@ -8,7 +8,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from .config import load_domain
+from .config import PROVIDERS, load_domain, overlay
 from .job import analyze, run_auto, run_job
 from .plans.mapping import parse_overrides
 from .plans.profiles import ProfileStore
@@ -25,6 +25,7 @@ def arguments() -> argparse.ArgumentParser:
         p.add_argument("--contributor-id")
         p.add_argument("--format", choices=["csv", "parquet"], default="csv")
         p.add_argument("--preview", action="store_true")
+        p.add_argument("--provider", choices=PROVIDERS, help="instead of the configuration's")
     p = sub.add_parser("profiles")
     p.add_argument("action", choices=["list", "delete", "save"])
     p.add_argument("key", nargs="?", help="a fingerprint or its beginning; for save, a file")
@@ -50,14 +51,14 @@ def main(argv: list[str] | None = None) -> int:
         print(store.save(a.key, [x["Source_Column"] for x in card if not x["Propagated"]], mappings=card))
         return 0
     if a.command == "analyze":
-        print(json.dumps(analyze(spark, a.files, load_domain(a.config_dir, a.domain), parse_overrides(a.override), store), indent=2))
+        print(json.dumps(analyze(spark, a.files, overlay(load_domain(a.config_dir, a.domain), provider=a.provider), parse_overrides(a.override), store), indent=2))
         return 0
     if a.command == "auto":
-        out = run_auto(spark, a.files, load_domain(a.config_dir, a.domain), store, a.output_dir, contributor=a.contributor_id, table_format=a.format)
+        out = run_auto(spark, a.files, load_domain(a.config_dir, a.domain), store, a.output_dir, contributor=a.contributor_id, table_format=a.format, provider_name=a.provider)
         print(json.dumps({k: out[k] for k in ("decisions", "job_summary")}, indent=2))
         job = out["job"]
     else:
-        job = run_job(spark, a.files, a.domain, a.output_dir, a.config_dir, parse_overrides(a.override), a.contributor_id, store=store, table_format=a.format)
+        job = run_job(spark, a.files, a.domain, a.output_dir, a.config_dir, parse_overrides(a.override), a.contributor_id, store=store, table_format=a.format, provider_name=a.provider)
         print(json.dumps(job.summary, indent=2))
         for t, df in job.preview.items() if a.preview else ():
             print(t)

@@ -10,6 +10,8 @@ from dataclasses import dataclass, field
 from pathlib import Path
 
 PROVIDERS = ("None", "Claude", "OpenAI", "Gemini")
+#: What a prompt template may speak of.
+PROMPT_FIELDS = ("domain", "source_col", "lookup_context", "options_text")
 
 
 class ConfigError(ValueError):
@@ -56,10 +58,10 @@ def discover_domains(root: str | Path) -> list[str]:
 
 
 def load_aliases(path: str | Path) -> dict[str, tuple[str, str]]:
-    """Alias rows in file order; of an alias that comes twice, the later target counts."""
+    """Alias rows in file order, aliases in lower case; of an alias that comes twice, the later target counts."""
     with open(path, newline="", encoding="utf-8-sig") as f:
         rows = csv.DictReader(f)
-        return {r["source_variation"].strip(): (r["canonical_table"].strip(), r["canonical_column"].strip()) for r in rows if r["source_variation"].strip()}
+        return {r["source_variation"].strip().lower(): (r["canonical_table"].strip(), r["canonical_column"].strip()) for r in rows if r["source_variation"].strip()}
 
 
 def load_domain(root: str | Path, domain: str) -> DomainConfig:
@@ -82,6 +84,11 @@ def validate(config: DomainConfig) -> list[str]:
     provider = config.section("llm").get("provider", "None") if isinstance(config.settings.get("llm", {}), dict) else None
     if str(provider) not in PROVIDERS:
         errors.append(f"llm.provider must be one of {', '.join(PROVIDERS)}")
+    if config.prompt is not None:
+        try:
+            config.prompt.format(**dict.fromkeys(PROMPT_FIELDS, ""))
+        except (KeyError, IndexError, ValueError) as e:
+            errors.append(f"the prompt has a field that is not known: {e}")
     tables = {k: v for k, v in config.tables.items() if isinstance(v, dict)}
     if not tables:
         errors.append("the canonical model has no table")

@@ -19,6 +19,7 @@ from . import sinks
 from .config import ConfigError, DomainConfig, load_domain, overlay
 from .operators import dq, lineage, project, report
 from .plans import mapping, profiles
+from .plans.providers import provider_of
 from .sources import archive, files, tables
 from .sources.files import InputFile
 
@@ -66,7 +67,7 @@ def read_inputs(spark: SparkSession, paths: list[str | InputFile], config: Domai
             out.failed.append((file.name, tables.error_type(e), str(e).splitlines()[0] if str(e) else type(e).__name__))
     for file in queue:
         try:
-            out.parsed.append(tables.scan(spark, file))
+            out.parsed.append(tables.scan(spark, file, bool(settings.get("all_sheets"))))
         except Exception as e:  # noqa: BLE001
             out.failed.append((file.name, tables.error_type(e), str(e).splitlines()[0] if str(e) else type(e).__name__))
     return out
@@ -123,6 +124,7 @@ def run_job(
     table_format: str = "csv",
     scope: str = "file",
     exceptions_limit: int | None = None,
+    provider_name: str | None = None,
     **thresholds,
 ) -> JobResult:
     """Runs a batch. Status: FAILED (bad configuration, or nothing readable), BLOCKED (mandatory columns miss in every file), SUCCESS_WITH_EXCEPTIONS or SUCCESS."""
@@ -130,7 +132,8 @@ def run_job(
     stamp = start.isoformat()
     try:
         config = load_domain(config_root, config) if isinstance(config, str) else config
-        config = overlay(config, contributor, **thresholds)
+        config = overlay(config, contributor, provider=provider_name, **thresholds)
+        provider = provider or provider_of(config)
     except (ConfigError, OSError, ValueError) as e:
         return JobResult({"Job_ID": job_id, "Job_Status": "FAILED", "Reason": str(e)})
     quality, folder = config.section("quality"), f"{output_dir.rstrip('/')}/{start:%Y%m%d}_{job_id}"
@@ -164,7 +167,9 @@ def run_job(
         if blocked and config.section("matching").get("auto_block_unmapped_mandatory", True):
             n_blocked += 1
             continue
-        columns, origin = mapping.column_map(mappings), project.Origin(name, parsed.format, job_id, mapping_id, contributor)
+        there = parsed.columns()
+        columns = {there[k]: v for k, v in mapping.column_map(mappings).items()}
+        origin = project.Origin(name, parsed.format, job_id, mapping_id, contributor, config.section("output").get("processing_system", project.PROCESSING_SYSTEM))
         mine, own_checks = {}, {}
         for t in mapping.active_tables(mappings):
             if t in config.tables:
@@ -247,7 +252,7 @@ def analyze(spark: SparkSession, paths: list[str], config: DomainConfig, overrid
         if match.kind == "EXACT" and match.profile.get("mappings") and not own:
             out.append({"file": file.name, "profile": match.kind, "scorecard": match.profile["mappings"], "blocked": []})
             continue
-        mappings = mapping.Mapper(config, own, provider).all(header)
+        mappings = mapping.Mapper(config, own, provider or provider_of(config)).all(header)
         out.append({"file": file.name, "profile": match.kind, "scorecard": mapping.scorecard(mappings), "blocked": [f"{t}.{c}" for t, c in mapping.blocked_columns(mappings, config)]})
     return out
 

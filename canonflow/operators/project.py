@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip
 
-PROCESSING_SYSTEM = "DataIngestionPOC-1.0"
+#: What Processing_System tells where a domain (output.processing_system) names nothing else.
+PROCESSING_SYSTEM = "canonflow"
 
 
 @dataclass(frozen=True)
@@ -21,6 +22,7 @@ class Origin:
     job_id: str
     mapping_id: str
     contributor: str | None = None
+    system: str = PROCESSING_SYSTEM
 
 
 def project_table(source: DataFrame, table: str, business: list[str], columns: dict[str, list[tuple[str, str, float]]], origin: Origin, stamp: str | None) -> DataFrame:
@@ -39,7 +41,7 @@ def project_table(source: DataFrame, table: str, business: list[str], columns: d
     out += [F.lit(origin.filename).alias("Source_Filename"), F.col("Source_Row_Index").cast("long"), F.lit(origin.contributor).cast("string").alias("Source_Contributor_ID"), F.lit(origin.file_format).alias("Source_File_Format"), F.lit(origin.mapping_id).alias("Mapping_Reference_ID")]
     out += [F.lit("ACTIVE").alias("Record_Status"), F.lit(1).alias("Record_Version")]
     out += [F.lit(stamp).alias(n) for n in ("Insert_Timestamp", "Last_Modified_Timestamp") if stamp is not None]
-    out += [F.lit(origin.job_id).alias("Inserted_By_Job"), F.lit(origin.job_id).alias("Last_Modified_By_Job"), F.lit(PROCESSING_SYSTEM).alias("Processing_System")]
+    out += [F.lit(origin.job_id).alias("Inserted_By_Job"), F.lit(origin.job_id).alias("Last_Modified_By_Job"), F.lit(origin.system).alias("Processing_System")]
     return source.select(*out)
 
 

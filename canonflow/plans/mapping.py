@@ -1,7 +1,7 @@
 """Header mapping: which canonical column each source column becomes.
 
 Headers and aliases are metadata, a few hundred strings, and are matched on
-the driver; the bulk form for long lists of names is in the queries.
+the driver; map_headers and gate_headers do the same for tables of headers.
 """
 
 from __future__ import annotations
@@ -9,9 +9,13 @@ from __future__ import annotations
 import difflib
 import json
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
 from ..config import ConfigError, DomainConfig
 from ..functions.text import normalise_header
 
@@ -88,8 +92,11 @@ def best_alias(name: str, aliases: dict[str, tuple[str, str]]) -> tuple[str | No
 
 
 class Mapper:
-    def __init__(self, config: DomainConfig, overrides: dict[str, tuple[str, str]] | None = None, provider: Provider | None = None):
+    def __init__(self, config: DomainConfig, overrides: dict[str, tuple[str, str]] | None = None, provider: Provider | None = None, sleep: Callable[[float], None] = time.sleep):
         m = config.section("matching")
+        #: (column, error) of questions that got no answer
+        self.failures: list[tuple[str, str]] = []
+        self.sleep = sleep
         self.config, self.overrides, self.provider = config, overrides or {}, provider
         self.steps = m.get("normalisation")
         self.least, self.factor = m.get("fuzzy_min_similarity", 0.7), m.get("fuzzy_confidence_multiplier", 0.91)
@@ -110,7 +117,11 @@ class Mapper:
         if self.provider is None:
             return None
         template = self.config.prompt or DEFAULT_PROMPT
-        reply = ask(self.provider, template.format(source_col=source, lookup_context=self.context, options_text=self.options))
+        try:
+            reply = ask(self.provider, template.format(domain=self.config.domain, source_col=source, lookup_context=self.context, options_text=self.options), sleep=self.sleep)
+        except Exception as e:  # noqa: BLE001  a provider that fails leaves a column to what is known without it
+            self.failures.append((source, f"{type(e).__name__}: {e}"))
+            return None
         target, confidence = (reply.get("canonical_table"), reply.get("canonical_column")), int(reply.get("confidence") or 0)
         if confidence < self.accept or not target[0] or target[1] in (None, UNMAPPED):
             return None
@@ -147,6 +158,45 @@ class Mapper:
         return out
 
 
+MAPPING = "source string, normalised string, canonical_table string, canonical_column string, match_method string, confidence int, was_mandatory boolean, met_threshold boolean, propagated boolean"
+
+
+def map_headers(headers: DataFrame, config: DomainConfig, overrides: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+    """Mapper.all for many headers at once: a row (MAPPING) per column of each row's array `header`, and per propagated copy, beside the row's other columns. No provider is asked. Null headers have no columns."""
+    own = [f for f in headers.schema.fields if f.name != "header"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mapper = Mapper(config, overrides)
+        for batch in batches:
+            at, found = [], []
+            for k, names in enumerate(batch.column("header").to_pylist()):
+                for x in mapper.all(names or []):
+                    at.append(k)
+                    found.append((x.source, x.normalised, x.table, x.column, x.method, x.confidence, x.mandatory, x.met, x.propagated))
+            kinds = [pa.string()] * 5 + [pa.int32()] + [pa.bool_()] * 3
+            mapped = [pa.array([r[i] for r in found], t) for i, t in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(f.name).take(pa.array(at, pa.int64())) for f in own], *mapped], names=[*[f.name for f in own], *MAPPED])
+
+    MAPPED = [x.split()[0] for x in MAPPING.split(", ")]
+    return headers.mapInArrow(run, T.StructType([*own, *T._parse_datatype_string(MAPPING).fields]))
+
+
+def gate_headers(headers: DataFrame, config: DomainConfig) -> DataFrame:
+    """The rows of `headers` with `active` (tables) and `blocked` (mandatory columns, TABLE.Column) for their array `header`."""
+    own = [f for f in headers.schema.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mapper = Mapper(config)
+        for batch in batches:
+            found = [mapper.all(names or []) for names in batch.column("header").to_pylist()]
+            active = pa.array([active_tables(x) for x in found], pa.list_(pa.string()))
+            blocked = pa.array([[f"{t}.{c}" for t, c in blocked_columns(x, config)] for x in found], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, active, blocked], names=[*[f.name for f in own], "active", "blocked"])
+
+    texts = T.ArrayType(T.StringType())
+    return headers.mapInArrow(run, T.StructType([*own, T.StructField("active", texts), T.StructField("blocked", texts)]))
+
+
 def active_tables(mappings: list[Mapping]) -> list[str]:
     """Tables with two mapped columns of their own, or more."""
     counts: dict[str, int] = {}

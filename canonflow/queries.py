@@ -254,7 +254,7 @@ UNION ALL SELECT 'REFERENTIAL_INTEGRITY_FAIL', count(*) FROM ({_ANTI.format(n='N
 UNION ALL SELECT 'BUSINESS_RULE_FAIL', count(*) FROM ({_JOINED} l_shipdate < o_orderdate)
 UNION ALL SELECT 'BUSINESS_RULE_FAIL', count(*) FROM orders WHERE upper(o_orderstatus) NOT IN ('O', 'F')) GROUP BY 1"""
 _TIER = "CASE WHEN Exception_Type = 'MANDATORY_NULL' THEN 'Blocking' ELSE 'DataQuality' END"
-_LINEAGE = "'{f}' AS Source_Filename, CAST({k} AS BIGINT) AS Source_Row_Index, 'C-1' AS Source_Contributor_ID, 'parquet' AS Source_File_Format, '{m}' AS Mapping_Reference_ID, 'ACTIVE' AS Record_Status, 1 AS Record_Version, 'JOB-1' AS Inserted_By_Job, 'JOB-1' AS Last_Modified_By_Job, 'DataIngestionPOC-1.0' AS Processing_System"
+_LINEAGE = "'{f}' AS Source_Filename, CAST({k} AS BIGINT) AS Source_Row_Index, 'C-1' AS Source_Contributor_ID, 'parquet' AS Source_File_Format, '{m}' AS Mapping_Reference_ID, 'ACTIVE' AS Record_Status, 1 AS Record_Version, 'JOB-1' AS Inserted_By_Job, 'JOB-1' AS Last_Modified_By_Job, 'canonflow' AS Processing_System"
 _NAMES = "[' order key', lower(o_orderstatus) || ' col', lower(o_orderpriority), 'total']"
 _PAIRS = "(SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders)"
 

@@ -89,6 +89,19 @@ def whole_encoding(spark: SparkSession, path: str, head: bytes) -> str:
     return "utf-8" if utf8 else "latin-1" if latin else "cp1252"
 
 
+# Characters whose compatibility composition is a delimiter or a quote.
+WIDE = "，﹐︐；﹔︔\u037e｜＂"
+
+
+def has_wide(spark: SparkSession, path: str, head: bytes, encoding: str) -> bool:
+    """Whether a file holds a character that becomes a delimiter or a quote when it is normalised."""
+    if any(c in head.decode(encoding, "replace") for c in WIDE):
+        return True
+    if len(head) < HEAD_BYTES or encoding not in ("utf-8", "utf-8-sig"):
+        return False
+    return not spark.read.option("lineSep", "\n").text(path).where(F.col("value").rlike(f"[{WIDE}]")).isEmpty()
+
+
 def sniff_delimiter(line: str) -> str:
     """The delimiter that the first line has most of; a comma if it has none."""
     best = max(DELIMITERS, key=lambda d: (line.count(d), -DELIMITERS.index(d)))
@@ -104,6 +117,19 @@ def clean(text: str) -> str:
     return text
 
 
+def column_names(header: list[str]) -> list[str]:
+    """Names of columns for a header, that differ even if case doesn't count, as it does for the engine's names."""
+    seen: set[str] = set()
+    out = []
+    for name in header:
+        column = name
+        while column.lower() in seen:
+            column += "_"
+        seen.add(column.lower())
+        out.append(column)
+    return out
+
+
 def unique_names(names: list[str]) -> list[str]:
     """Header names, trimmed; a name that comes again gets .1, .2 and so on."""
     seen: dict[str, int] = {}

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import csv
+import functools
 import io
 import json
+import re
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from datetime import datetime, timedelta
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -29,7 +32,7 @@ INDEX = "Source_Row_Index"
 
 @dataclass
 class ParsedFile:
-    """A source: header names, rows (strings, lazy), and the rows that its format dropped, if it can."""
+    """A source: header names, rows (strings, lazy), and the rows that its format dropped, if it can. names: the columns of rows, where they aren't the header's, since two of its names differ in case alone."""
 
     file: InputFile
     format: str
@@ -37,6 +40,11 @@ class ParsedFile:
     rows: DataFrame
     encoding: str | None = None
     dropped: DataFrame | None = None
+    names: list[str] | None = None
+
+    def columns(self) -> dict[str, str]:
+        """The column of rows for each header name."""
+        return dict(zip(self.header, self.names or self.header, strict=True))
 
 
 def quoted(name: str) -> str:
@@ -66,17 +74,44 @@ def delimited_header(spark: SparkSession, file: InputFile) -> tuple[list[str], s
     return files.unique_names(next(csv.reader(io.StringIO(text, newline=""), delimiter=delimiter))), delimiter, encoding
 
 
+def parsed_rows(content: bytes, encoding: str, delimiter: str) -> list[list[str]]:
+    """The records of a delimited file that is normalised as a whole before it is cut at its delimiters."""
+    text = files.clean(content.decode(encoding, "replace").lstrip("\ufeff"))
+    return [r for r in csv.reader(io.StringIO(text, newline=""), delimiter=delimiter) if r]
+
+
+def scan_wide(spark: SparkSession, file: InputFile, header: list[str], delimiter: str, encoding: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, dropped) of a delimited file with full-width delimiters or quotes, which is parsed within a task."""
+    n, names = len(header), files.column_names(header)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                records = parsed_rows(content.as_py(), encoding, delimiter)[1:]
+                good = [(r + [""] * (n - len(r)), None) if len(r) <= n else ([None] * n, delimiter.join(r)) for r in records]
+                yield from string_batches([(*r, raw) for r, raw in good], [*names, "__raw"])
+
+    schema = T.StructType([*[T.StructField(h, T.StringType()) for h in [*names, "__raw"]], T.StructField(INDEX, T.LongType())])
+    every = spark.read.format("binaryFile").load(file.path).select("content").mapInArrow(run, schema)
+    kept = every.where("__raw IS NULL").drop("__raw", INDEX).withColumn(INDEX, F.monotonically_increasing_id() + 1)
+    return kept, every.where("__raw IS NOT NULL").select(F.col("__raw").alias("raw"))
+
+
 def scan_delimited(spark: SparkSession, file: InputFile, kind: str, multi_line: bool = True, compose: bool = True) -> ParsedFile:
     """Short rows end in nulls; rows with more fields than the header are dropped, and told in `dropped`. multi_line=False lets Spark split large files whose fields hold no line breaks."""
     header, delimiter, encoding = delimited_header(spark, file)
+    names, label = files.column_names(header), files.LABELS.get(delimiter, kind)
+    if compose and files.has_wide(spark, file.path, files.read_head(spark, file.path), encoding):
+        rows, dropped = scan_wide(spark, file, header, delimiter, encoding)
+        return ParsedFile(file, label, header, rows, encoding, dropped, names)
     schema = T.StructType([T.StructField(f"_{k}", T.StringType()) for k in range(len(header) + 1)])
     reader = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("sep", delimiter).option("encoding", SPARK_ENCODINGS[encoding]).option("quote", '"').option("escape", '"').option("multiLine", multi_line).option("maxCharsPerColumn", -1)
     rows = reader.csv(file.path)
     extra = f"_{len(header)}"
     value = lambda k: F.translate(f"_{k}", b"".join(C1).decode("latin-1"), b"".join(C1).decode("cp1252")) if encoding == "cp1252" else F.col(f"_{k}")
-    named = indexed(rows.where(F.col(extra).isNull())).select(*[F.coalesce(value(k), F.lit("")).alias(h) for k, h in enumerate(header)], INDEX)
+    named = indexed(rows.where(F.col(extra).isNull())).select(*[F.coalesce(value(k), F.lit("")).alias(h) for k, h in enumerate(names)], INDEX)
     dropped = rows.where(F.col(extra).isNotNull()).select(F.concat_ws(delimiter, *[f"_{k}" for k in range(len(header) + 1)]).alias("raw"))
-    return ParsedFile(file, files.LABELS.get(delimiter, kind), header, normalised(named, header, compose), encoding, dropped)
+    return ParsedFile(file, label, header, normalised(named, names, compose), encoding, dropped, names)
 
 
 def first_keys(text: str) -> list[str]:
@@ -211,25 +246,68 @@ def column_number(reference: str) -> int:
     return n - 1
 
 
-def xlsx_rows(content: bytes) -> list[list[str]]:
-    """Cells of the first sheet, as written; formulas by their stored values, dates by their numbers."""
+# Built-in number formats of dates and times.
+DATE_FORMAT_IDS = frozenset([*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)])
+
+
+def is_date_format(code: str) -> bool:
+    """Whether a number format shows dates or times: it has a letter for one outside quotes, brackets and escapes."""
+    plain = re.sub(r'"[^"]*"|\\.|_.|\*.|\[(?!h+\]|m+\]|s+\])[^\]]*\]', "", code.split(";")[0].lower())
+    return plain != "general" and bool(re.search("[ymdhs]", plain))
+
+
+def excel_time(value: str, since_1904: bool) -> str:
+    """A serial number as a date and time, as text; what is no number stays."""
+    try:
+        days = float(value)
+    except ValueError:
+        return value
+    if not 0 <= days < 2_958_466:
+        return value
+    if days < 1:
+        return str((datetime(1900, 1, 1) + timedelta(seconds=round(days * 86400))).time())
+    # the 1900 system counts a day that never was, the 29th of February of that year
+    start = datetime(1904, 1, 1) if since_1904 else datetime(1899, 12, 31 if days < 60 else 30)
+    return str(start + timedelta(seconds=round(days * 86400)))
+
+
+def date_styles(z: zipfile.ZipFile) -> set[int]:
+    """The cell styles of a workbook whose number format shows dates or times."""
+    if "xl/styles.xml" not in z.namelist():
+        return set()
+    root = ET.fromstring(z.read("xl/styles.xml"))
+    own = {int(x.get("numFmtId")): x.get("formatCode", "") for x in root.iter(f"{S}numFmt")}
+    cells = root.find(f"{S}cellXfs")
+    ids = [int(x.get("numFmtId", 0)) for x in (cells if cells is not None else [])]
+    return {k for k, n in enumerate(ids) if (is_date_format(own[n]) if n in own else n in DATE_FORMAT_IDS)}
+
+
+def xlsx_rows(content: bytes, all_sheets: bool = False) -> list[list[str]]:
+    """Cells of the first sheet, as written; formulas by their stored values, dates as `2024-01-31 00:00:00`. all_sheets: further sheets follow, without their header rows where they equal the first one's."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         shared = [] if "xl/sharedStrings.xml" not in z.namelist() else ["".join(t.text or "" for t in s.iter(f"{S}t")) for s in ET.fromstring(z.read("xl/sharedStrings.xml")).findall(f"{S}si")]
-        first = ET.fromstring(z.read("xl/workbook.xml")).find(f"{S}sheets")[0].get(f"{R}id")
+        book, dates = ET.fromstring(z.read("xl/workbook.xml")), date_styles(z)
+        since_1904 = any(x.get("date1904") in ("1", "true") for x in book.iter(f"{S}workbookPr"))
         links = {x.get("Id"): x.get("Target") for x in ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        sheet = ET.fromstring(z.read("xl/" + links[first].removeprefix("/xl/")))
-    rows = []
-    for row in sheet.iter(f"{S}row"):
-        cells: dict[int, str] = {}
-        for k, c in enumerate(row.findall(f"{S}c")):
-            value = c.findtext(f"{S}v") or ""
-            if c.get("t") == "s":
-                value = shared[int(value)]
-            elif c.get("t") == "inlineStr":
-                value = "".join(t.text or "" for t in c.iter(f"{S}t"))
-            cells[column_number(c.get("r", "")) if c.get("r") else k] = value
-        rows.append([cells.get(k, "") for k in range(max(cells, default=-1) + 1)])
-    return [r for r in rows if any(r)]
+        sheets = [ET.fromstring(z.read("xl/" + links[x.get(f"{R}id")].removeprefix("/xl/"))) for x in list(book.find(f"{S}sheets"))[: None if all_sheets else 1]]
+    out: list[list[str]] = []
+    for sheet in sheets:
+        rows = []
+        for row in sheet.iter(f"{S}row"):
+            cells: dict[int, str] = {}
+            for k, c in enumerate(row.findall(f"{S}c")):
+                value, kind = c.findtext(f"{S}v") or "", c.get("t", "n")
+                if kind == "s":
+                    value = shared[int(value)]
+                elif kind == "inlineStr":
+                    value = "".join(t.text or "" for t in c.iter(f"{S}t"))
+                elif kind == "n" and value and int(c.get("s", 0)) in dates:
+                    value = excel_time(value, since_1904)
+                cells[column_number(c.get("r", "")) if c.get("r") else k] = value
+            rows.append([cells.get(k, "") for k in range(max(cells, default=-1) + 1)])
+        rows = [r for r in rows if any(r)]
+        out += rows[1:] if out and rows and rows[0] == out[0] else rows
+    return out
 
 
 def pdf_rows(content: bytes) -> list[list[str]]:
@@ -259,9 +337,12 @@ def legacy_rows(content: bytes) -> list[list[str]]:
             return xlrd.error_text_from_code.get(cell.value, "")
         if cell.ctype == xlrd.XL_CELL_BOOLEAN:
             return str(int(cell.value))
+        if cell.ctype == getattr(xlrd, "XL_CELL_DATE", None):
+            return excel_time(str(cell.value), book.datemode == 1)
         return str(int(cell.value)) if isinstance(cell.value, float) and cell.value.is_integer() else str(cell.value)
 
-    sheet = xlrd.open_workbook(file_contents=content).sheet_by_index(0)
+    book = xlrd.open_workbook(file_contents=content)
+    sheet = book.sheet_by_index(0)
     rows = [[written(c) for c in sheet.row(k)] for k in range(sheet.nrows)]
     return [r for r in rows if any(r)]
 
@@ -269,23 +350,30 @@ def legacy_rows(content: bytes) -> list[list[str]]:
 BINARY: dict[str, Callable[[bytes], list[list[str]]]] = {"html": html_rows, "docx": docx_rows, "xlsx": xlsx_rows, "xls": legacy_rows, "pdf": pdf_rows}
 
 
-def scan_binary(spark: SparkSession, file: InputFile, kind: str) -> ParsedFile:
+def string_batches(rows: list, names: list[str], size: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Rows of strings as batches, with their numbers."""
+    for at in range(0, len(rows), size):
+        part = rows[at : at + size]
+        columns = [pa.array(c, pa.string()) for c in zip(*part, strict=True)]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(range(at + 1, at + 1 + len(part)), pa.int64())], names=[*names, INDEX])
+
+
+def scan_binary(spark: SparkSession, file: InputFile, kind: str, all_sheets: bool = False) -> ParsedFile:
     """Documents, each parsed within a task; the driver parses one once for its header, which is as wide as the widest row: names that lack are `Unnamed: k`."""
-    parse = BINARY[kind]
+    parse = functools.partial(xlsx_rows, all_sheets=all_sheets) if kind == "xlsx" else BINARY[kind]
     found = parse(read_whole(spark, file))
     width = max(map(len, found))
     header = files.unique_names([*found[0], *[f"Unnamed: {k}" for k in range(len(found[0]), width)]])
+    names = files.column_names(header)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                for at, row in enumerate(parse(content.as_py())[1:], 1):
-                    cells = [*row, *[""] * (width - len(row))]
-                    yield pa.RecordBatch.from_arrays([*[pa.array([x], pa.string()) for x in cells], pa.array([at], pa.int64())], names=[*header, INDEX])
+                yield from string_batches([[*row, *[""] * (width - len(row))] for row in parse(content.as_py())[1:]], names)
 
-    schema = T.StructType([*[T.StructField(h, T.StringType()) for h in header], T.StructField(INDEX, T.LongType())])
+    schema = T.StructType([*[T.StructField(h, T.StringType()) for h in names], T.StructField(INDEX, T.LongType())])
     rows = spark.read.format("binaryFile").load(file.path).select("content").mapInArrow(run, schema)
-    return ParsedFile(file, "pdf_text" if kind == "pdf" else kind, header, rows)
+    return ParsedFile(file, "pdf_text" if kind == "pdf" else kind, header, rows, names=names)
 
 
 def read_whole(spark: SparkSession, file: InputFile) -> bytes:
@@ -298,14 +386,14 @@ def scan_parquet(spark: SparkSession, file: InputFile, kind: str = "parquet") ->
     return ParsedFile(file, kind, header, indexed(rows).select(*[F.col(quoted(h)).cast("string").alias(h) for h in header], INDEX))
 
 
-def scan(spark: SparkSession, file: InputFile) -> ParsedFile:
+def scan(spark: SparkSession, file: InputFile, all_sheets: bool = False) -> ParsedFile:
     kind = files.format_of(file.name)
     if kind is None:
         raise UnsupportedFile(f"files of type {files.extension(file.name) or 'none'} are not supported")
     if kind in ("csv", "tsv", "txt"):
         return scan_delimited(spark, file, kind)
     if kind in BINARY:
-        return scan_binary(spark, file, kind)
+        return scan_binary(spark, file, kind, all_sheets)
     return {"json": scan_json, "xml": scan_xml, "parquet": scan_parquet}[kind](spark, file, kind)
 
 
