@@ -18,7 +18,7 @@ DATE_FORMATS = ["yyyy-M-d", "d/M/yyyy", "M/d/yyyy", "d-M-yyyy", "M-d-yyyy", "yyy
 #: Tried after these, for what a free-form parser takes.
 FREE_FORMATS = ["yyyy-M-d HH:mm:ss", "yyyy-M-d'T'HH:mm:ss", "yyyy-M-d'T'HH:mm:ss.SSS", "yyyy-M-d'T'HH:mm:ssXXX", "yyyy-M-d HH:mm", "MMMM d, yyyy", "MMM d, yyyy", "d/M/yyyy HH:mm:ss", "d/M/yyyy HH:mm", "yyyy-M", "yyyy"]
 #: What each part of a date format looks like.
-DATE_PARTS = {"yyyy": "[0-9]{4}", "MMMM": "[A-Za-z]{3,9}", "MMM": "[A-Za-z]{3,4}", "MM": "(?:0[1-9]|1[0-2])", "M": "(?:0?[1-9]|1[0-2])", "dd": "(?:0[1-9]|[12][0-9]|3[01])", "d": "(?:0?[1-9]|[12][0-9]|3[01])", "HH": "[0-9]{2}", "mm": "[0-9]{2}", "ss": "[0-9]{2}", "SSS": "[0-9]{3}", "XXX": "(?:Z|[+-][0-9]{2}:[0-9]{2})"}
+DATE_PARTS = {"yyyy": "[0-9]{4}", "MMMM": "(?:[A-Za-z]{4,9}|[Mm][Aa][Yy])", "MMM": "[A-Za-z]{3}", "MM": "(?:0[1-9]|1[0-2])", "M": "(?:0?[1-9]|1[0-2])", "dd": "(?:0[1-9]|[12][0-9]|3[01])", "d": "(?:0?[1-9]|[12][0-9]|3[01])", "HH": "[0-9]{2}", "mm": "[0-9]{2}", "ss": "[0-9]{2}", "SSS": "[0-9]{3}", "XXX": "(?:Z|[+-][0-9]{2}:[0-9]{2})"}
 PYTHON_FLOAT = r"(?i)^[+-]?((\d+(_\d+)*)(\.(\d+(_\d+)*)?)?|\.\d+(_\d+)*)(e[+-]?\d+(_\d+)*)?$"
 HEADER_STEPS = {"lowercase": True, "spaces_to_underscore": True, "hyphens_to_underscore": True, "dots_to_underscore": True, "strip_special_chars": True, "collapse_underscores": True, "strip_leading_trailing_underscores": True}
 
@@ -41,19 +41,32 @@ def to_number(c: Column, tokens: list[str], strip_chars: list[str] | None = None
     return F.when(~is_null(c, tokens), number)
 
 
-def date_shape(date_format: str) -> str:
-    """A pattern that every text of a date format fits, so that a parser is asked only where it may succeed: its failures are costly."""
+def date_shape(date_format: str) -> str | None:
+    """A pattern that the texts of a date format fit; None for formats with other parts than DATE_PARTS."""
     out = ""
     for m in re.finditer(r"'([^']*)'|([A-Za-z])\2*|.", date_format):
-        out += re.escape(m[1]) if m[1] is not None else DATE_PARTS.get(m[0], ".+") if m[2] else re.escape(m[0])
+        if m[2] and m[0] not in DATE_PARTS:
+            return None
+        out += re.escape(m[1]) if m[1] is not None else DATE_PARTS[m[0]] if m[2] else re.escape(m[0])
     return f"^{out}$"
 
 
 def to_date(c: Column, tokens: list[str], formats: list[str] | None = None) -> Column:
-    """Timestamp without time zone, of the first format that fits; null for nulls and for what is no date."""
-    plain = strip(c)
-    tries = [F.when(plain.rlike(date_shape(f)), F.try_to_timestamp(plain, F.lit(f))) for f in (formats or DATE_FORMATS) + FREE_FORMATS]
-    return F.when(~is_null(c, tokens), F.coalesce(*tries)).cast("timestamp_ntz")
+    """Timestamp without time zone, of the first format that fits; null for nulls and for what is no date.
+
+    A text's shape tells the format, since a parser's failures are costly. Of two formats of one shape and order of digits, only
+    the first can fit: a day that a month doesn't have is no month either.
+    """
+    plain, tries = strip(c), (formats or DATE_FORMATS) + FREE_FORMATS
+    shapes = [date_shape(f) for f in tries]
+    if None in shapes:
+        found = F.coalesce(*[F.try_to_timestamp(plain, F.lit(f)) for f in tries])
+    else:
+        form = F.lit(None).cast("string")
+        for f, shape in reversed(list(zip(tries, shapes, strict=True))):
+            form = F.when(plain.rlike(shape), F.lit(f)).otherwise(form)
+        found = F.try_to_timestamp(plain, form)
+    return F.when(~is_null(c, tokens), found).cast("timestamp_ntz")
 
 
 def normalise_header(name: str, steps: dict | None = None) -> str:

@@ -228,8 +228,8 @@ def run_job(
             result.outputs[t] = sinks.write_table(df.orderBy(*order), f"{folder}/{prefix.get('canonical_prefix', 'canonical')}_{t}_{job_id}", table_format)
         result.preview[t] = df.orderBy(*order).limit(prefix.get("preview_rows", 20))
     if total:
-        listed = result.exceptions.orderBy(*order, "Exception_Type", "Canonical_Column")
-        result.outputs["exceptions"] = sinks.write_table(listed.limit(exceptions_limit) if exceptions_limit else listed, f"{folder}/{prefix.get('exceptions_prefix', 'exceptions')}_{job_id}", table_format)
+        listed = sinks.listed(result.exceptions, [*order, "Exception_Type", "Canonical_Column"], exceptions_limit)
+        result.outputs["exceptions"] = sinks.write_table(listed, f"{folder}/{prefix.get('exceptions_prefix', 'exceptions')}_{job_id}", table_format)
     result.outputs["column_lineage"] = sinks.write_table(result.column_lineage, f"{folder}/column_lineage_{job_id}", table_format)
     if inputs.lineage:
         result.outputs["archive_lineage"] = sinks.write_table(result.archive_lineage, f"{folder}/archive_lineage_{job_id}", table_format)

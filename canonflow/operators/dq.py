@@ -98,11 +98,11 @@ def duplicate_keys(table: DataFrame, checks: Checks, scope: str = "file") -> Dat
     return located(found, checks.table)
 
 
-def orphans(child: DataFrame, column: str, parent: DataFrame, to_column: str, tokens: list[str], within: list[str] | None = None) -> DataFrame:
-    """Rows of child whose value, if not null, no parent row has. The join's side and strategy are left to the optimiser, which knows sizes."""
+def orphans(child: DataFrame, column: str, parent: DataFrame, to_column: str, tokens: list[str], within: list[str] | None = None, orphans: bool = True) -> DataFrame:
+    """Rows of child whose value, if not null, no parent row has, or (orphans=False) some has. The join's side and strategy are left to the optimiser, which knows sizes."""
     within = within or []
     keys = parent.where(~is_null(F.col(to_column), tokens)).select(*within, strip(F.col(to_column)).alias("__key")).distinct()
-    return child.where(~is_null(F.col(column), tokens)).withColumn("__key", strip(F.col(column))).join(keys, [*within, "__key"], "left_anti").drop("__key")
+    return child.where(~is_null(F.col(column), tokens)).withColumn("__key", strip(F.col(column))).join(keys, [*within, "__key"], "left_anti" if orphans else "left_semi").drop("__key")
 
 
 def referential_integrity(tables: dict[str, DataFrame], rule: dict, tokens: list[str], scope: str = "file") -> DataFrame | None:

@@ -158,7 +158,7 @@ class Mapper:
         return out
 
 
-MAPPING = "source string, normalised string, canonical_table string, canonical_column string, match_method string, confidence int, was_mandatory boolean, met_threshold boolean, propagated boolean"
+MAPPING = "source string, normalised string, canonical_table string, canonical_column string, match_method string, confidence int, was_mandatory boolean, met_threshold boolean, propagated boolean, variant string"
 
 
 def map_headers(headers: DataFrame, config: DomainConfig, overrides: dict[str, tuple[str, str]] | None = None) -> DataFrame:
@@ -172,8 +172,8 @@ def map_headers(headers: DataFrame, config: DomainConfig, overrides: dict[str, t
             for k, names in enumerate(batch.column("header").to_pylist()):
                 for x in mapper.all(names or []):
                     at.append(k)
-                    found.append((x.source, x.normalised, x.table, x.column, x.method, x.confidence, x.mandatory, x.met, x.propagated))
-            kinds = [pa.string()] * 5 + [pa.int32()] + [pa.bool_()] * 3
+                    found.append((x.source, x.normalised, x.table, x.column, x.method, x.confidence, x.mandatory, x.met, x.propagated, x.variant))
+            kinds = [pa.string()] * 5 + [pa.int32()] + [pa.bool_()] * 3 + [pa.string()]
             mapped = [pa.array([r[i] for r in found], t) for i, t in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*[batch.column(f.name).take(pa.array(at, pa.int64())) for f in own], *mapped], names=[*[f.name for f in own], *MAPPED])
 

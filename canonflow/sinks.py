@@ -36,6 +36,12 @@ def write_csv(df: DataFrame, path: str) -> str:
     return path
 
 
+def listed(exceptions: DataFrame, order: list[str], limit: int | None = None) -> DataFrame:
+    """Exceptions in the order in which they are written, the first `limit` if one is asked for."""
+    out = exceptions.orderBy(*order)
+    return out.limit(limit) if limit else out
+
+
 def write_table(df: DataFrame, path: str, form: str = "csv") -> str:
     """As one CSV file, or as a Parquet folder, which is what large tables want."""
     if form == "csv":

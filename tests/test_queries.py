@@ -3,7 +3,9 @@
 import duckdb
 import pytest
 
-from canonflow.queries import ORACLE, QUERIES
+from canonflow import file_queries, queries
+
+ORACLE, QUERIES = queries.ORACLE | file_queries.ORACLE, queries.QUERIES | file_queries.QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -42,7 +44,7 @@ def test_entry(spark):
 
 
 def test_plans_push_down(spark, sf_dir):
-    plan = QUERIES["q9_code_set_rule"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    plan = QUERIES["q5_orphan_rows"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<o_orderkey:bigint,o_orderstatus:string>" in plan and "PushedFilters" in plan
     plan = QUERIES["q1_null_counts"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Scan parquet") <= 2  # the adaptive plan shows it before and after
