@@ -128,7 +128,7 @@ _LINES = rf"""
 lines AS (SELECT r, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM d),
 full_lines AS (
     SELECT *, row_number() OVER (PARTITION BY r, line ORDER BY i) > 1 AS again, len(regexp_extract_all(line, '{WORDS}')) AS words, len(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS chars,
-        len(regexp_extract_all(line, '[|»›•·]')) AS seps, len(regexp_extract_all(line, '[#*$%&|<>]')) AS symbols
+        len(regexp_extract_all(line, {_q(quality.SEPARATORS.pattern)})) AS seps, len(regexp_extract_all(line, '[#*$%&|<>]')) AS symbols
     FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
 ),
 judged AS (

@@ -23,9 +23,17 @@ from .words import SPACED, Words, shards, windows
 # Characters of the counts.
 SYMBOLS = "#*$%&|<>"
 SPACE = " \t\n\x0b\x0c\r"
-BOILERPLATE = re.compile(r"all rights reserved|privacy policy|terms of (?:use|service)|cookie (?:policy|settings|preferences)|(?:accept|uses?) (?:all )?cookies|sign (?:in|up)\b|log ?in\b|subscribe (?:to|now)|share (?:this|on)|read more|click here|skip to (?:main )?content|enable javascript|powered by|copyright\b|©|\(c\) ?[0-9]{4}", re.IGNORECASE | re.ASCII)
+#: Phrases of page furniture by language; accents are given in both cases, since case is folded in ASCII alone.
+PHRASES = {
+    "en": r"all rights reserved|privacy policy|terms of (?:use|service)|cookie (?:policy|settings|preferences)|(?:accept|uses?) (?:all )?cookies|sign (?:in|up)\b|log ?in\b|subscribe (?:to|now)|share (?:this|on)|read more|click here|skip to (?:main )?content|enable javascript|powered by|copyright\b|©|\(c\) ?[0-9]{4}",
+    "fr": r"tous droits r[éÉ]serv[éÉ]s|politique de confidentialit[éÉ]|conditions d['’]utilisation|mentions l[éÉ]gales|lire la suite|accepter (?:tous )?les cookies|se connecter\b|partager sur|plan du site",
+    "de": r"alle rechte vorbehalten|datenschutzerkl[äÄ]rung|nutzungsbedingungen|impressum|weiterlesen\b|cookies akzeptieren|jetzt anmelden|auf facebook teilen|zum inhalt springen",
+    "es": r"todos los derechos reservados|pol[íÍ]tica de privacidad|t[éÉ]rminos (?:de uso|y condiciones)|aviso legal|leer m[áÁ]s|aceptar (?:todas )?las cookies|iniciar sesi[óÓ]n|compartir en|mapa del sitio",
+}
+BOILERPLATE = re.compile("|".join(PHRASES.values()), re.IGNORECASE | re.ASCII)
 ENDS = tuple(".!?…:;\"'”’»)]}。！？")
-SEPARATORS = re.compile(r"[|»›•·]")
+#: What stands between the labels of a menu.
+SEPARATORS = re.compile(r"[|»›•·¦]|::| / ")
 _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[[ord(c) for c in SYMBOLS]] = 1
 

@@ -362,6 +362,23 @@ def test_quality(frame):
     assert quality.apply_quality_rules(frame([])).collect() == []
 
 
+def test_line_rules_by_language():
+    rules = quality.LineRules()
+    faults = {"Tous droits réservés, mentions légales et le reste.": "boilerplate", "ALLE RECHTE VORBEHALTEN, sagt diese Seite hier.": "boilerplate", "Lea nuestra Política de Privacidad antes de seguir.": "boilerplate", "Home / About us / News / Contact / Help": "navigation", "One :: Two :: Three :: Four more": "navigation"}
+    assert {k: quality.line_fault(k, rules) for k in faults} == faults
+    for good in ("He read the terms / the rules and then he went home again.", "The impression that the droits of man made was great.", "Der Datenschutz ist ein Thema, über das viele reden."):
+        assert quality.line_fault(good, rules) is None
+
+
+def test_verdicts_on_labelled_documents(spark, sf_dir):
+    """Of the documents labelled good, the line rules reject none that the base rules let pass; of the bad, they and the base rules reject nearly all."""
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    judged = quality.apply_quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "base_failed", "kept").collect()
+    good = [r for r in judged if labels.get(r.doc_id) == 1 and not r.base_failed]
+    bad = [r for r in judged if labels.get(r.doc_id) == 0]
+    assert good and all(r.kept for r in good) and sum(r.kept for r in bad) <= 0.1 * len(bad)
+
+
 # secrets
 
 
@@ -653,6 +670,25 @@ def test_sharding(frame):
     assert sum(len(w) > 1 for t, w in where.items() if not t.startswith("hot")) == 0
 
 
+def test_sharding_cuts(spark, sf_dir):
+    """Edges between equal texts that lie in two shards: none but of groups too large for one, where hashing cuts most; and the same shards each time."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    first, again = ({r.doc_id: (r.shard, r.slot) for r in sharding.shard_documents(docs, 6).collect()} for _ in range(2))
+    assert first == again
+    groups = collections.defaultdict(list)
+    for k, t in texts.items():
+        groups[t].append(k)
+
+    def cut(shard):
+        sizes = [collections.Counter(shard(k) for k in g) for g in groups.values()]
+        return sum((sum(c.values()) ** 2 - sum(n * n for n in c.values())) // 2 for c in sizes)
+
+    part = sum(len(t.encode()) + 8 for t in texts.values()) / 6
+    large = [g for t, g in groups.items() if len(g) * (len(t.encode()) + 8) > part / 50]
+    assert cut(lambda k: first[k][0]) <= sum(len(g) * (len(g) - 1) // 2 for g in large) and cut(lambda k: first[k][0]) < 0.5 * cut(lambda k: k * 2654435761 % 6)
+
+
 def test_sharding_edges(frame):
     assert sharding.shard_documents(frame([])).collect() == []
     texts = [*HARD, "x", None, "x"]
