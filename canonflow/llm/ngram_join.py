@@ -14,8 +14,9 @@ one class, so copies cost one row.  Then:
    that more than `block` sets share are grouped by their prefixes in order 2
    as well, and where those are shared by as many, in order 3: linked sets meet
    in each order, so a pair whose shared shingles are all frequent in one order
-   meets in the next.  Only a group that is frequent in all three is dealt into
-   blocks.  Groups that overlap are brought together under one label while they
+   meets in the next.  Only sets whose shared shingles are frequent in all three
+   are dealt into blocks, by their frequent shingles in order 1, which has
+   fewest.  Groups that overlap are brought together under one label while they
    stay small, so that a set travels about once.
 3. In a task, a pair is verified only if its prefixes meet in all three
    orders; pairs that other links already connect need no verification.
@@ -303,7 +304,7 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("key"), F.col("b").alias("label")).union(own)
 
 
-def ngram_jaccard_join(documents: DataFrame, n: int = 4, percent: int = 85, block: int = 256, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def ngram_jaccard_join(documents: DataFrame, n: int = 4, percent: int = 85, block: int = 512, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, class_key, component_id (the smallest doc_id that links reach, itself included).
 
     Null and blank texts have no shingles, a null class_key and link with nothing: component_id is their own doc_id. Rows with
@@ -335,7 +336,8 @@ def ngram_jaccard_join(documents: DataFrame, n: int = 4, percent: int = 85, bloc
     run, schema = _wanted_sets(n, bits, collided)
     sets = docs.where("text IS NOT NULL").mapInArrow(run, schema).groupBy("key").agg(F.first("shingles").alias("shingles"))
     sets = keep(sets, "sets")
-    groups, hot = [_labelled(postings.where(F.col("members") <= block), block)], postings.where(F.col("members") > block)
+    groups = [_labelled(postings.where(F.col("members") <= block), block)]
+    frequent = hot = postings.where(F.col("members") > block)
     for salt in ORDERS:
         if hot.isEmpty():
             break
@@ -345,6 +347,8 @@ def ngram_jaccard_join(documents: DataFrame, n: int = 4, percent: int = 85, bloc
         groups.append(_labelled(there.where(F.col("members") <= block), block))
         hot = there.where(F.col("members") > block)
     if some := not hot.isEmpty():
+        # what is left meets in order 1, whose frequent shingles are fewest
+        hot = keep(_counted(frequent.join(hot.select("key").distinct(), "key", "left_semi")), "left")
         deals = F.ceil(F.col("members") / F.lit(block)).cast("long")
         groups.append(_labelled(hot.withColumn("deal", F.pmod(F.xxhash64("key", F.lit(11)), deals)), block))
     every = groups[0]
@@ -401,7 +405,7 @@ def _shared_only(postings: DataFrame) -> DataFrame:
 
 
 def _labelled(dealt: DataFrame, block: int) -> DataFrame:
-    """(task, key): every group of `dealt` (token, key, and deal if it is dealt) lies within a task, of at most about `block` sets."""
+    """(task, key): every group of `dealt` (token, key, and deal if it is dealt) lies within a task, of at most `block` sets, if a group is no larger itself."""
     part = F.xxhash64("token", "deal") if "deal" in dealt.columns else F.xxhash64("token")
     dealt = dealt.select(part.alias("part"), "key")
     # two steps of the smallest key: a group's smallest, then the smallest over a set's groups
@@ -412,8 +416,8 @@ def _labelled(dealt: DataFrame, block: int) -> DataFrame:
     placed = keep(dealt.join(home, "part").select("part", "task", "key"), "placed")
     rows = placed.select("task", "key").distinct()
     sizes = rows.groupBy("task").agg(F.count("*").alias("n"))
-    fits = rows.join(sizes.where(F.col("n") <= block + block // 2), "task", "left_semi")
-    alone = placed.join(sizes.where(F.col("n") > block + block // 2), "task", "left_semi").select(F.xxhash64("part", F.lit(3)).alias("task"), "key")
+    fits = rows.join(sizes.where(F.col("n") <= block), "task", "left_semi")
+    alone = placed.join(sizes.where(F.col("n") > block), "task", "left_semi").select(F.xxhash64("part", F.lit(3)).alias("task"), "key")
     out = keep(fits.select(F.xxhash64("task", F.lit(1)).alias("task"), "key").union(alone).distinct(), "tasks")
     discard(placed)
     return out
@@ -432,10 +436,10 @@ def _key_filter(wanted: DataFrame) -> np.ndarray:
 
 def _across(hot: DataFrame, labels: DataFrame, sets: DataFrame, counts: np.ndarray, percent: int, block: int) -> DataFrame:
     """Links between the blocks of hot shingles: sets outside a shingle's largest component, against all its sets."""
-    known = hot.join(labels, "key", "left").select("token", "key", F.coalesce("label", "key").alias("label"))
+    known = keep(hot.where(F.col("members") > block).join(labels, "key", "left").select("token", "key", F.coalesce("label", "key").alias("label")), "known")
     most = known.groupBy("token", "label").agg(F.count("*").alias("n")).groupBy("token").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.sum("n").alias("members"), F.max("n").alias("n"))
     most = most.where("n < members").withColumn("blocks", F.ceil(F.col("members") / block).cast("int")).withColumn("chunks", F.ceil((F.col("members") - F.col("n")) / block).cast("int"))
-    rows = known.join(most, "token")
+    rows = keep(known.join(most, "token"), "across")  # written alone, so a hot shingle's rows can be split
     deal = lambda n, salt: F.pmod(F.xxhash64("key", F.lit(salt)), F.col(n).cast("long")).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     members = rows.select("token", "key", "label", deal("blocks", 11).alias("i"), every("chunks").alias("j"), F.lit(0).cast("long").alias("side"))
