@@ -1,4 +1,4 @@
-"""Command line: run, analyze, auto and profiles."""
+"""Command line: run, analyze, auto, profiles and serve."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from .config import PROVIDERS, load_domain, overlay
 from .job import analyze, run_auto, run_job
 from .plans.mapping import parse_overrides
 from .plans.profiles import ProfileStore
+from .service import Service, server
 
 
 def arguments() -> argparse.ArgumentParser:
@@ -26,6 +27,10 @@ def arguments() -> argparse.ArgumentParser:
         p.add_argument("--format", choices=["csv", "parquet"], default="csv")
         p.add_argument("--preview", action="store_true")
         p.add_argument("--provider", choices=PROVIDERS, help="instead of the configuration's")
+    p = sub.add_parser("serve")
+    p.add_argument("--host", default="127.0.0.1")
+    p.add_argument("--port", type=int, default=8000)
+    p.add_argument("--output-dir", default="artifacts")
     p = sub.add_parser("profiles")
     p.add_argument("action", choices=["list", "delete", "save"])
     p.add_argument("key", nargs="?", help="a fingerprint or its beginning; for save, a file")
@@ -40,6 +45,9 @@ def main(argv: list[str] | None = None) -> int:
     a = arguments().parse_args(argv)
     spark = SparkSession.builder.appName("canonflow").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     store = ProfileStore(a.profile_dir, a.domain)
+    if a.command == "serve":
+        server(Service(spark, a.config_dir, a.output_dir, a.profile_dir), a.host, a.port).serve_forever()
+        return 0
     if a.command == "profiles":
         if a.action == "list":
             print(json.dumps(store.list(), indent=2))

@@ -111,6 +111,13 @@ def fill_report(counts: DataFrame, config: DomainConfig) -> dict:
     return {"tables": merged, "per_file_reports": per_file}
 
 
+def source_rows(parsed: list[tables.ParsedFile], per_file: dict) -> int:
+    """Rows of all files: of a file that gave a table, as many as the table has from it; only others are counted."""
+    names = [p.file.name for p in parsed]
+    known = {n: max(x["total_rows"] for x in per_file[n].values()) for n in per_file if names.count(n) == 1}
+    return sum(known[p.file.name] if p.file.name in known else p.rows.count() for p in parsed)
+
+
 def run_job(
     spark: SparkSession,
     paths: list[str | InputFile],
@@ -198,7 +205,8 @@ def run_job(
     for t, parts in counted.items():
         dq.union_all(spark, parts).write.parquet(f"{work}/{t}")
         result.tables[t] = spark.read.parquet(f"{work}/{t}")
-        fills.append(report.null_counts(result.tables[t], list(config.columns(t)), config.null_tokens, ["Source_Filename"]).withColumnRenamed("Source_Filename", "file").withColumn("table", F.lit(t)))
+        typed = [c for c, s in config.columns(t).items() if s.get("type") in ("numeric", "date")] if quality.get("legacy_fill") else []
+        fills.append(report.null_counts(result.tables[t], list(config.columns(t)), config.null_tokens, ["Source_Filename"], typed).withColumnRenamed("Source_Filename", "file").withColumn("table", F.lit(t)))
     lineage.exceptions_table(spark, rows, found, job_id, config.domain, stamp).write.parquet(f"{work}/_exceptions")
     result.exceptions = spark.read.parquet(f"{work}/_exceptions")
     counts = {r.Exception_Type: r.n for r in report.histogram(result.exceptions).collect()}
@@ -216,7 +224,7 @@ def run_job(
     n_rows = {t: x["total_rows"] for t, x in result.quality["tables"].items()}
     result.summary = {
         "Job_ID": job_id, "Domain": config.domain, "Source_Filename": ", ".join(p.file.name for p in inputs.parsed) or ", ".join(n for n, _, _ in inputs.failed), "Job_Status": status, "Job_Narrative": report.narrative(status, counts),
-        "Files_Processed": len(inputs.parsed), "Files_Failed": len({n for n, _, _ in inputs.failed}), "Total_Source_Rows": sum(p.rows.count() for p in inputs.parsed), "Total_Canonical_Rows_Written": sum(n_rows.values()), "Total_Exceptions": total,
+        "Files_Processed": len(inputs.parsed), "Files_Failed": len({n for n, _, _ in inputs.failed}), "Total_Source_Rows": source_rows(inputs.parsed, result.quality["per_file_reports"]), "Total_Canonical_Rows_Written": sum(n_rows.values()), "Total_Exceptions": total,
         "Exceptions_Blocking": by_tier(report.BLOCKING), "Exceptions_DataQuality": by_tier(report.DATA_QUALITY), "Exceptions_Informational": total - by_tier(report.BLOCKING) - by_tier(report.DATA_QUALITY),
         "Columns_Mapped_Exact": methods(mapping.EXACT), "Columns_Mapped_Fuzzy": methods(mapping.FUZZY), "Columns_Mapped_LLM": methods(mapping.LLM, mapping.LLM_DISAMBIGUATED), "Columns_Unmapped": methods(mapping.NO_MATCH),
         "Mandatory_Columns_Blocked": len(blocked_all), "Blocked_Mandatory_Details": [f"{t}.{c}" for t, c in blocked_all], "Job_Start_Timestamp": stamp, "Job_End_Timestamp": datetime.now(UTC).isoformat(),
@@ -234,6 +242,8 @@ def run_job(
     if inputs.lineage:
         result.outputs["archive_lineage"] = sinks.write_table(result.archive_lineage, f"{folder}/archive_lineage_{job_id}", table_format)
     result.outputs["dq_report"] = sinks.write_json(spark, result.quality, f"{folder}/{prefix.get('dq_report_prefix', 'dq')}_report_{job_id}.json")
+    fs, staging = sinks.file_system(spark, f"{folder}/_staging")
+    fs.delete(staging, True)
     result.outputs["summary"] = sinks.write_json(spark, result.summary, f"{folder}/job_summary_{job_id}.json")
     return result
 

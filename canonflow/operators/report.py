@@ -13,10 +13,10 @@ BLOCKING = ["UNMAPPED_MANDATORY", "LOW_CONFIDENCE_MAPPING", "MANDATORY_NULL", "P
 DATA_QUALITY = ["TYPE_MISMATCH", "DUPLICATE_KEY", "REFERENTIAL_INTEGRITY_FAIL", "BUSINESS_RULE_FAIL"]
 
 
-def null_counts(df: DataFrame, columns: list[str], tokens: list[str], by: list[str] | None = None) -> DataFrame:
-    """(by..., column_name, total_rows, null_count) in long form, from one aggregation of one scan."""
+def null_counts(df: DataFrame, columns: list[str], tokens: list[str], by: list[str] | None = None, filled: list[str] | None = None) -> DataFrame:
+    """(by..., column_name, total_rows, null_count) in long form, from one aggregation of one scan. filled: columns that count as filled throughout."""
     by = by or []
-    sums = [F.sum(is_null(F.col(c).cast("string"), tokens).cast("long")).alias(c) for c in columns]
+    sums = [F.sum((F.lit(False) if c in (filled or []) else is_null(F.col(c).cast("string"), tokens)).cast("long")).alias(c) for c in columns]
     wide = df.groupBy(*by).agg(F.count("*").alias("total_rows"), *sums)
     return wide.unpivot([*by, "total_rows"], columns, "column_name", "null_count").withColumn("null_count", F.coalesce("null_count", F.lit(0).cast("long")))
 

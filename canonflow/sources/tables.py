@@ -310,6 +310,15 @@ def xlsx_rows(content: bytes, all_sheets: bool = False) -> list[list[str]]:
     return out
 
 
+def scanned_text(pages: list) -> str:
+    """The text of pages that hold pictures of it. Needs pytesseract."""
+    try:
+        import pytesseract
+    except ImportError as e:
+        raise ValueError("the PDF has no readable text, and reading its pages as pictures needs pytesseract, which is not installed") from e
+    return "\n".join(pytesseract.image_to_string(p.to_image(resolution=150).original) for p in pages)
+
+
 def pdf_rows(content: bytes) -> list[list[str]]:
     """Text of a PDF, as comma-separated rows if it has several columns, else in a column `text`. Needs pdfplumber."""
     try:
@@ -318,9 +327,9 @@ def pdf_rows(content: bytes) -> list[list[str]]:
         raise UnsupportedFile("PDF files need pdfplumber, which is not installed") from e
     with pdfplumber.open(io.BytesIO(content)) as pdf:
         text = "\n".join(p.extract_text() or "" for p in pdf.pages)
-    garbled = sum(not c.isprintable() and c != "\n" for c in text) / max(1, len(text))
-    if len(text.strip()) < 20 or garbled > 0.15:
-        raise ValueError("the PDF has no readable text; scanned pages need a text layer")
+        garbled = sum(not c.isprintable() and c != "\n" for c in text) / max(1, len(text))
+        if len(text.strip()) < 20 or garbled > 0.15:
+            text = scanned_text(pdf.pages)
     rows = list(csv.reader(io.StringIO(text)))
     return rows if rows and len(rows[0]) > 1 else [["text"], *[[x] for x in text.splitlines() if x.strip()]]
 
