@@ -328,9 +328,9 @@ def ngram_jaccard_join(documents: DataFrame, n: int = 4, percent: int = 85, bloc
     for _ in range(2):
         enough = postings.groupBy("key").agg(F.count("*").alias("n"), F.max(F.shiftright("code", 1)).alias("need")).where("n >= need").select("key")
         postings = _replaced(postings, keep(postings.join(enough, "key", "left_semi").select("token", "key", "code"), "enough"))
-        postings = _replaced(postings, keep(_counted(postings), "counted"))
+        postings = _replaced(postings, _counted(postings))
     postings = _replaced(postings, keep(postings.where("code % 2 = 1").select("token", "key"), "proper"))
-    postings = _replaced(postings, keep(_counted(postings), "postings"))
+    postings = _replaced(postings, _counted(postings))
 
     bits = _key_filter(postings.select("key").distinct().join(classes.select("key", "least"), "key"))
     run, schema = _wanted_sets(n, bits, collided)
@@ -343,12 +343,13 @@ def ngram_jaccard_join(documents: DataFrame, n: int = 4, percent: int = 85, bloc
             break
         run, schema = _ordered(percent, salt)
         there = keep(sets.join(hot.select("key").distinct(), "key", "left_semi").mapInArrow(run, schema), "order")
-        there = _replaced(there, keep(_counted(there), "postings"))
+        there = _replaced(there, _counted(there))
         groups.append(_labelled(there.where(F.col("members") <= block), block))
         hot = there.where(F.col("members") > block)
     if some := not hot.isEmpty():
         # what is left meets in order 1, whose frequent shingles are fewest
-        hot = keep(_counted(frequent.join(hot.select("key").distinct(), "key", "left_semi")), "left")
+        left = keep(frequent.join(hot.select("key").distinct(), "key", "left_semi"), "left")
+        hot = _replaced(left, _counted(left))
         deals = F.ceil(F.col("members") / F.lit(block)).cast("long")
         groups.append(_labelled(hot.withColumn("deal", F.pmod(F.xxhash64("key", F.lit(11)), deals)), block))
     every = groups[0]
@@ -393,9 +394,11 @@ def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame, frozenset]:
 
 
 def _counted(postings: DataFrame) -> DataFrame:
-    """With members, the number of sets of a shingle, for shingles that two sets or more have. Sums meet, not rows; the join is written alone, so a hot shingle's rows can be split."""
-    members = postings.groupBy("token").agg(F.count("*").alias("members")).where("members > 1")
-    return postings.drop("members").join(members, "token")
+    """With members, the number of sets of a shingle, for shingles that two sets or more have. Sums meet, not rows; sums and join are written, each alone, so that a hot shingle's rows can be split."""
+    members = keep(postings.groupBy("token").agg(F.count("*").alias("members")).where("members > 1"), "members")
+    out = keep(postings.drop("members").join(members, "token"), "counted")
+    discard(members)
+    return out
 
 
 def _shared_only(postings: DataFrame) -> DataFrame:
@@ -439,7 +442,9 @@ def _across(hot: DataFrame, labels: DataFrame, sets: DataFrame, counts: np.ndarr
     known = keep(hot.where(F.col("members") > block).join(labels, "key", "left").select("token", "key", F.coalesce("label", "key").alias("label")), "known")
     most = known.groupBy("token", "label").agg(F.count("*").alias("n")).groupBy("token").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.sum("n").alias("members"), F.max("n").alias("n"))
     most = most.where("n < members").withColumn("blocks", F.ceil(F.col("members") / block).cast("int")).withColumn("chunks", F.ceil((F.col("members") - F.col("n")) / block).cast("int"))
-    rows = keep(known.join(most, "token"), "across")  # written alone, so a hot shingle's rows can be split
+    # each shingle's sums meet its rows in SALTS parts
+    salted = most.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = keep(known.withColumn("salt", F.pmod(F.xxhash64("key", F.lit(17)), F.lit(SALTS)).cast("int")).join(salted, ["token", "salt"]), "across")
     deal = lambda n, salt: F.pmod(F.xxhash64("key", F.lit(salt)), F.col(n).cast("long")).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     members = rows.select("token", "key", "label", deal("blocks", 11).alias("i"), every("chunks").alias("j"), F.lit(0).cast("long").alias("side"))
