@@ -65,8 +65,8 @@ def count_tokens(documents: DataFrame, word_path: str, byte_path: str) -> DataFr
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents are inserted, exact copies deleted, the rest revised to another tokenizer, and the deletes sent again."""
     counted = keep(count_tokens(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), tokenizer_path("byte_bpe_50k.tiktoken")), "counts")
-    least = counted.groupBy("text_key").agg(F.min("doc_id").alias("least"))
-    # the join is written alone: in a stage without sums, a hot text's rows can be split
+    least = keep(counted.groupBy("text_key").agg(F.min("doc_id").alias("least")), "least")
+    # sums and join are written, each alone: in a stage without sums, a hot text's rows can be split
     joined = counted.join(least, "text_key")  # keys are never null
     counted = keep(joined.select("source", "lang", "word_bpe", "byte_bpe", (F.col("doc_id") > F.col("least")).alias("copy")), "copies")
 
