@@ -59,19 +59,23 @@ class WordTokenizer:
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def alone(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As learn, each word by itself."""
+        own = self._encode(words.to_pylist())
+        return np.array([x for ids in own for x in ids], np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in own], dtype=np.int64)])
+
     def learn(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words, where each begins, with the total at the end)."""
         n = len(words)
         if self.mark is None or not n or pc.any(pc.match_substring(words, MARK)).as_py():
-            own = self._encode(words.to_pylist())
-            return np.array([x for ids in own for x in ids], np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in own], dtype=np.int64)])
+            return self.alone(words)
         cuts = np.append(np.arange(0, n, MARKED), n)
         joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), words), pa.scalar(f" {MARK} ", words.type)).to_pylist()
         parts = [np.array(x, np.uint32) for text in joined for x in (*self._encode([text]), [self.mark])]
         ids = np.concatenate(parts)
         marks = np.flatnonzero(ids == self.mark)  # one after each word
-        if len(marks) != n:
-            raise ValueError("the tokenizer joins words across its mark")
+        if len(marks) != n:  # a word has the mark's id, as unknown ones may
+            return self.alone(words)
         return np.delete(ids, marks), np.concatenate([[0], marks - np.arange(n)])
 
     def look_up(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
