@@ -111,6 +111,15 @@ def fill_report(counts: DataFrame, config: DomainConfig) -> dict:
     return {"tables": merged, "per_file_reports": per_file}
 
 
+def written(mine: dict[str, DataFrame], folder: str) -> dict[str, DataFrame]:
+    """Tables written once, so that each check reads columns instead of parsing and coercing the files again."""
+    out = {}
+    for t, df in mine.items():
+        df.write.parquet(f"{folder}/{t}")
+        out[t] = df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{t}")
+    return out
+
+
 def source_rows(parsed: list[tables.ParsedFile], per_file: dict) -> int:
     """Rows of all files: of a file that gave a table, as many as the table has from it; only others are counted."""
     names = [p.file.name for p in parsed]
@@ -189,13 +198,16 @@ def run_job(
                 canonical.setdefault(t, []).append(df)
                 checks[t] = own_checks[t]
             continue
-        good, bad = dq.run_checks(mine, own_checks, integrity.get("rules", []) if integrity.get("enabled", True) else [], rules, config.null_tokens)
+        mine = written(mine, f"{folder}/_source/{mapping_id}")
+        good = written({t: dq.coerce(df, own_checks[t]) for t, df in mine.items()}, f"{folder}/_source/{mapping_id}-coerced")
+        good, bad = dq.run_checks(mine, own_checks, integrity.get("rules", []) if integrity.get("enabled", True) else [], rules, config.null_tokens, "file", good)
         found.append(bad)
         for t, df in good.items():
             counted.setdefault(t, []).append(df)
     if scope == "job" and canonical:
-        merged = {t: dq.union_all(spark, parts) for t, parts in canonical.items()}
-        good, bad = dq.run_checks(merged, checks, integrity.get("rules", []) if integrity.get("enabled", True) else [], rules, config.null_tokens, "job")
+        merged = written({t: dq.union_all(spark, parts) for t, parts in canonical.items()}, f"{folder}/_source/all")
+        good = written({t: dq.coerce(df, checks[t]) for t, df in merged.items()}, f"{folder}/_source/coerced")
+        good, bad = dq.run_checks(merged, checks, integrity.get("rules", []) if integrity.get("enabled", True) else [], rules, config.null_tokens, "job", good)
         found.append(bad)
         counted = {t: [df] for t, df in good.items()}
     result = JobResult({})
@@ -242,8 +254,9 @@ def run_job(
     if inputs.lineage:
         result.outputs["archive_lineage"] = sinks.write_table(result.archive_lineage, f"{folder}/archive_lineage_{job_id}", table_format)
     result.outputs["dq_report"] = sinks.write_json(spark, result.quality, f"{folder}/{prefix.get('dq_report_prefix', 'dq')}_report_{job_id}.json")
-    fs, staging = sinks.file_system(spark, f"{folder}/_staging")
-    fs.delete(staging, True)
+    for left in ("_staging", "_source"):
+        fs, path = sinks.file_system(spark, f"{folder}/{left}")
+        fs.delete(path, True)
     result.outputs["summary"] = sinks.write_json(spark, result.summary, f"{folder}/job_summary_{job_id}.json")
     return result
 

@@ -177,10 +177,10 @@ def union_all(spark: SparkSession, parts: list[DataFrame | None]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else spark.createDataFrame([], EXCEPTION)
 
 
-def run_checks(tables: dict[str, DataFrame], checks: dict[str, Checks], integrity: list[dict], rules: list[Rule], tokens: list[str], scope: str = "file") -> tuple[dict[str, DataFrame], DataFrame]:
-    """(coerced tables, all exceptions). Lazy: nothing is computed here."""
+def run_checks(tables: dict[str, DataFrame], checks: dict[str, Checks], integrity: list[dict], rules: list[Rule], tokens: list[str], scope: str = "file", good: dict[str, DataFrame] | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(coerced tables, all exceptions). Lazy: nothing is computed here. good: the coerced tables, if they are at hand."""
     spark = next(iter(tables.values())).sparkSession
-    good = {t: coerce(df, checks[t]) for t, df in tables.items()}
+    good = good or {t: coerce(df, checks[t]) for t, df in tables.items()}
     found: list[DataFrame | None] = []
     for t, df in tables.items():
         found += [cell_faults(df, checks[t]), duplicate_keys(good[t], checks[t], scope)]
