@@ -28,9 +28,11 @@ def trade() -> DomainConfig:
     return load_domain(DOMAINS, "trade")
 
 
-def scanned(spark: SparkSession, paths: list[str], suffix: str) -> DataFrame:
-    """The rows of files that are named as if they had a suffix, without their numbers."""
+def scanned(spark: SparkSession, paths: list[str], suffix: str, columns: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of files that are named as if they had a suffix, without their numbers. columns: those that a table has, though its files name only what they hold a value of."""
     found = [tables.scan(spark, InputFile(p, f"part{suffix}")).rows.drop(tables.INDEX) for p in paths]
+    if columns:
+        found.insert(0, spark.createDataFrame([], ", ".join(f"{c} string" for c in columns)))
     return dq.union_all(spark, found)
 
 
@@ -63,7 +65,7 @@ def s7_xml_scan(spark: SparkSession, d: str) -> DataFrame:
     folder = shared_folder(spark, "xml")
     rows = read(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("c_custkey"), F.concat("c_name", F.lit(" & <Söhne>")).alias("c_name"), "c_mktsegment")
     rows.write.format("xml").option("rowTag", "customer").option("rootTag", "customers").save(folder)
-    return scanned(spark, parts(spark, folder), ".xml")
+    return scanned(spark, parts(spark, folder), ".xml", ("c_custkey", "c_name", "c_mktsegment"))
 
 
 def s14_encoding(spark: SparkSession, d: str) -> DataFrame:

@@ -222,3 +222,16 @@ def test_service(served):
     assert ask(served, "POST", "/api/v1/jobs/run", {"domain": "none"}, upload)[0] == 404
     assert ask(served, "POST", "/api/v1/jobs/run", {"overrides": "nonsense"}, upload)[0] == 422
     assert ask(served, "POST", "/api/v1/jobs/run", {"mandatory_threshold": "900"}, upload)[0] == 422
+
+
+@pytest.mark.parametrize("name, table", [("s7_xml_scan", "customer")])
+def test_scans_of_partitions_without_rows(spark, sf_dir, tmp_path, monkeypatch, name, table):
+    """A large file of one row group is read by several tasks, of which the first may find no rows."""
+    every = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    want = sorted(map(tuple, file_queries.QUERIES[name](spark, sf_dir).collect()))
+    key = every.columns[0]
+    for rows, result in ((every.collect(), want), ([], [])):
+        df = spark.createDataFrame(spark.sparkContext.parallelize([], 1).union(spark.sparkContext.parallelize(rows, 1)), every.schema)
+        monkeypatch.setattr(file_queries, "read", lambda *a, df=df: df)
+        found = file_queries.QUERIES[name](spark, str(tmp_path))
+        assert key in found.columns and sorted(map(tuple, found.collect())) == result
