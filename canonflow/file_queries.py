@@ -57,7 +57,7 @@ def s6_json_scan(spark: SparkSession, d: str) -> DataFrame:
     """Events as lines of JSON objects; values keep their written form."""
     folder = shared_folder(spark, "json")
     read(spark, d, "events").select(F.to_json(F.struct("event_id", "event_type", "props")).alias("value")).write.text(folder)
-    return scanned(spark, parts(spark, folder), ".json")
+    return scanned(spark, parts(spark, folder), ".json", ("event_id", "event_type", "props"))
 
 
 def s7_xml_scan(spark: SparkSession, d: str) -> DataFrame:

@@ -224,7 +224,7 @@ def test_service(served):
     assert ask(served, "POST", "/api/v1/jobs/run", {"mandatory_threshold": "900"}, upload)[0] == 422
 
 
-@pytest.mark.parametrize("name, table", [("s7_xml_scan", "customer")])
+@pytest.mark.parametrize("name, table", [("s6_json_scan", "events"), ("s7_xml_scan", "customer")])
 def test_scans_of_partitions_without_rows(spark, sf_dir, tmp_path, monkeypatch, name, table):
     """A large file of one row group is read by several tasks, of which the first may find no rows."""
     every = spark.read.parquet(f"{sf_dir}/{table}.parquet")
