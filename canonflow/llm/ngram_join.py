@@ -9,7 +9,11 @@ one class, so copies cost one row.  Then:
    |s| - ceil(percent * |s| / 100) + 1 shingles are its prefix; linked sets
    share a shingle of their prefixes, in this and in every other order.  With
    l - 1 shingles more, they share l: a set that has fewer shingles in common
-   with others than any partner would need drops out.
+   with others than any partner would need drops out. A shingle counts only if
+   another set has it whose size allows a link, and at places in both prefixes
+   where a linked pair's first l shared shingles can lie: the share of shingles
+   that unrelated sets have in common grows with the table, and would in the
+   end let every set through.
 2. Sets that share a shingle of the prefix form a group.  Sets with a shingle
    that more than `block` sets share are grouped by their prefixes in order 2
    as well, and where those are shared by as many, in order 3: linked sets meet
@@ -146,8 +150,8 @@ def _sum_counts(part: pa.Table) -> pa.Table:
 
 
 def _postings(n: int, percent: int, counts: np.ndarray, collided: frozenset):
-    """Second pass: the longer order-1 prefix of each set, once in a task. code: twice the shingles that the set must share, plus 1 in the prefix proper; salt: a part of the rows of a shingle that may be frequent, else 0."""
-    fields = [("token", pa.int64()), ("salt", pa.int32()), ("key", pa.int64()), ("code", pa.int32())]
+    """Second pass: the longer order-1 prefix of each set, once in a task. spot: the set's size times 2**32, plus the shingle's place in the prefix; salt: a part of the rows of a shingle that may be frequent, else 0."""
+    fields = [("token", pa.int64()), ("salt", pa.int32()), ("key", pa.int64()), ("spot", pa.int64())]
     heavy = counts > max(HEAVY, HEAVY_MEAN * counts.mean())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,17 +162,14 @@ def _postings(n: int, percent: int, counts: np.ndarray, collided: frozenset):
                 if len(found) and (key := class_key(found, collided)) not in met:
                     met.add(key)
                     size = len(found)
-                    p = prefix_length(size, percent)
-                    longer = p + shared_least(size, percent) - 1
+                    longer = prefix_length(size, percent) + shared_least(size, percent) - 1
                     one = found[np.lexsort((found, counts[bucket(found)]))[:longer]]
-                    code = np.full(len(one), 2 * shared_least((percent * size + 99) // 100, percent), np.int32)
-                    code[:p] += 1
                     salt = heavy[bucket(one)] * np.int32(1 + key % SALTS)
-                    out.append((one.view(np.int64), salt.astype(np.int32), np.full(len(one), key, np.int64), code))
+                    out.append((one.view(np.int64), salt.astype(np.int32), np.full(len(one), key, np.int64), (size << 32) + np.arange(len(one))))
             if out:
                 yield _batch(fields, [np.concatenate([x[k] for x in out]) for k in range(4)])
 
-    return run, "token long, salt int, key long, code int"
+    return run, "token long, salt int, key long, spot long"
 
 
 def _ordered(percent: int, salt: int):
@@ -323,7 +324,7 @@ def ngram_jaccard_join(documents: DataFrame, n: int = 4, percent: int = 85, bloc
     counts = np.minimum(counts.reshape(-1), 2**31 - 1).astype(np.int32)
 
     run, schema = _postings(n, percent, counts, collided)
-    postings = keep(_shared_only(texts.mapInArrow(run, schema)), "shared")
+    postings = keep(_shared_only(texts.mapInArrow(run, schema), percent), "shared")
     # a set that shares too little goes, and then shingles that nobody else has any more
     for _ in range(2):
         enough = postings.groupBy("key").agg(F.count("*").alias("n"), F.max(F.shiftright("code", 1)).alias("need")).where("n >= need").select("key")
@@ -401,10 +402,29 @@ def _counted(postings: DataFrame) -> DataFrame:
     return out
 
 
-def _shared_only(postings: DataFrame) -> DataFrame:
-    """Shingles of one set, most of all, go in one exchange; the rows of those that may be frequent are dealt by their salt, and go later."""
-    once = postings.repartition("token", "salt").groupBy("token", "salt", "key").agg(F.max("code").alias("code"))
-    return once.withColumn("members", F.count("*").over(Window.partitionBy("token", "salt"))).where("members > 1 OR salt > 0").select("token", "key", "code")
+def _shared_only(postings: DataFrame, percent: int) -> DataFrame:
+    """(token, key, code) of the shingles that a linked set may share, in one exchange. code: twice the shingles that the set must share, plus 1 in the prefix proper.
+
+    Rows of a shingle are in the order of their sets' sizes, so a row whose next but one is too large has one possible partner above it, which is tested;
+    below it likewise. The rows of shingles that may be frequent are dealt by their salt, and go later.
+    """
+    once = postings.repartition("token", "salt").groupBy("token", "salt", "key").agg(F.max("spot").alias("spot"))
+    by_size = Window.partitionBy("token", "salt").orderBy("spot")
+    near = {f"{kind}{k}": f("spot", k).over(by_size) for kind, f in (("below", F.lag), ("above", F.lead)) for k in (1, 2)}
+    size, place = (lambda spot: f"shiftright({spot}, 32)"), (lambda spot: f"({spot} & 4294967295L)")
+    close = lambda a, b: f"100 * {size(a)} >= {percent} * {size(b)}"
+    prefix = lambda n: f"({n} - ({percent} * {n} + 99) div 100 + 1)"
+    least = lambda n: f"(1 + {prefix(n)} div 3)"  # noqa: E731  as in shared_least
+
+    def meets(a: str, b: str) -> str:
+        """Whether linked sets, b no smaller, may have one of their first shared shingles here: so many others follow it in both."""
+        after = f"(({percent} * ({size(a)} + {size(b)}) + {99 + percent}) div {100 + percent} - {least(size(a))})"
+        return f"({close(a, b)} AND {place(a)} < {size(a)} - {after} AND {place(b)} < {size(b)} - {after})"
+
+    kept = f"salt > 0 OR {meets('below1', 'spot')} OR {meets('spot', 'above1')} OR {close('below2', 'spot')} OR {close('spot', 'above2')}"
+    need = least(f"(({percent} * {size('spot')} + 99) div 100)")
+    code = f"CAST(2 * {need} + CAST({place('spot')} < {prefix(size('spot'))} AS INT) AS INT)"
+    return once.withColumns(near).where(kept).select("token", "key", F.expr(code).alias("code"))
 
 
 def _labelled(dealt: DataFrame, block: int) -> DataFrame:

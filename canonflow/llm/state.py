@@ -5,9 +5,14 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Whether a query's shuffle files go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in `spark.checkpoint.dir`; where that is unset in a local run, a temporary one, which is then set. A cluster has to name one."""
@@ -50,10 +55,22 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """What is written within leaves no shuffle files; else they stay until the driver's memory is next collected, which may be long after."""
+    old = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, old)
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it again: lineage is cut, and a lost executor costs nothing that is written."""
     path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    with shuffles_removed(df.sparkSession):
+        df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.kept_in = path
     return out

@@ -2,13 +2,15 @@
 
 import collections
 import hashlib
+import random
 import re
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from canonflow.llm import decontaminate, license_scan, ngram_join, packing, quality, secret_scan, sharding
+from canonflow.llm import decontaminate, license_scan, ngram_join, packing, quality, secret_scan, sharding, state
 from canonflow.llm.queries import tokenizer_path
 from canonflow.llm.tokens import word_tokenizer
 from canonflow.llm.words import ALNUM_LOWER, SPACED, Words, shards
@@ -701,3 +703,37 @@ def test_line_words():
     assert quality.line_fault("five words lie in here", rules) is None
     assert quality.line_fault("the end.\x1c", rules) == "punctuation"
     assert quality.line_fault("the end.\x0b ", rules) is None
+
+
+def test_shared_shingles(spark):
+    """Of the rows of a shingle stay those that a linked pair may need, and none of sets that are too different in size or share too late a place."""
+    rng, percent = random.Random(5), 85
+    groups = {1: [(100, 0), (1000, 0)], 2: [(100, 3), (110, 3)], 3: [(100, 0), (100, 15)], 4: [(20, 0), (100, 1), (101, 2), (5000, 9)], 5: [(300, 0)]}
+    groups |= {k: [(s := rng.choice([9, 40, 45, 50, 400, 430]), rng.randrange(ngram_join.prefix_length(s, percent) + ngram_join.shared_least(s, percent) - 1)) for _ in range(rng.randrange(1, 6))] for k in range(10, 400)}
+    rows = [(token, 0, 1000 * token + i, (size << 32) + place) for token, sets in groups.items() for i, (size, place) in enumerate(sets)]
+    rows += [(6, 1, 7, 100 << 32), (6, 2, 8, 900 << 32)]  # salted ones go later
+    found = {(r.token, r.key): r.code for r in ngram_join._shared_only(spark.createDataFrame(rows, "token long, salt int, key long, spot long"), percent).collect()}
+
+    def may_link(x, y):
+        (a, i), (b, j) = sorted((x, y))
+        both, first = -(-percent * (a + b) // (100 + percent)), ngram_join.shared_least(a, percent)
+        return 100 * a >= percent * b and i < a - both + first and j < b - both + first
+
+    needed = {(t, 1000 * t + i) for t, sets in groups.items() for i, x in enumerate(sets) for k, y in enumerate(sets) if i != k and may_link(x, y)}
+    assert needed <= set(found) and {(6, 7), (6, 8)} <= set(found)
+    assert {k for t, k in found if t < 6} == {2000, 2001, 4001, 4002}
+    for (token, key), code in found.items():
+        if token != 6:
+            size, place = groups[token][key - 1000 * token]
+            assert code == 2 * ngram_join.shared_least(-(-percent * size // 100), percent) + (place < ngram_join.prefix_length(size, percent))
+
+
+def test_kept_tables_leave_no_shuffle_files(spark):
+    def shuffled():
+        files = spark._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return {n for k in range(files.size()) if (n := files.apply(k).getName()).startswith("shuffle_")}
+
+    before = shuffled()
+    kept = state.keep(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().repartition(3, "count"), "kept")
+    assert not shuffled() - before and kept.count() == 7
+    assert spark.conf.get(state.CLEANUP) == "false"
