@@ -20,7 +20,7 @@ one class, so copies cost one row.  Then:
    in each order, so a pair whose shared shingles are all frequent in one order
    meets in the next.  Only sets whose shared shingles are frequent in all three
    are dealt into blocks, by their frequent shingles in order 1, which has
-   fewest.  Groups that overlap are brought together under one label while they
+   fewest; those that nearly the same sets share count as one.  Groups that overlap are brought together under one label while they
    stay small, so that a set travels about once.
 3. In a task, a pair is verified only if its prefixes meet in all three
    orders; pairs that other links already connect need no verification.
@@ -53,6 +53,8 @@ SALTS = 64
 HEAVY, HEAVY_MEAN = 1024, 16
 #: Salts of the orders 2 and 3, permutations of all 64-bit numbers.
 ORDERS = (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
+#: Orders of sets by which groups whose label holds too many are brought together.
+ROUNDS = (101, 102, 103)
 #: Sets that differ but share a key; one in 2**64 pairs does.
 COLLISIONS = 100_000
 
@@ -351,6 +353,8 @@ def ngram_jaccard_join(documents: DataFrame, n: int = 4, percent: int = 85, bloc
         # what is left meets in order 1, whose frequent shingles are fewest
         left = keep(frequent.join(hot.select("key").distinct(), "key", "left_semi"), "left")
         hot = _replaced(left, _counted(left))
+        for salt in ROUNDS[:2]:
+            hot = _replaced(hot, _families(hot, salt))
         deals = F.ceil(F.col("members") / F.lit(block)).cast("long")
         groups.append(_labelled(hot.withColumn("deal", F.pmod(F.xxhash64("key", F.lit(11)), deals)), block))
     every = groups[0]
@@ -427,8 +431,31 @@ def _shared_only(postings: DataFrame, percent: int) -> DataFrame:
     return once.withColumns(near).where(kept).select("token", "key", F.expr(code).alias("code"))
 
 
+def _families(hot: DataFrame, salt: int) -> DataFrame:
+    """`hot` (token, key, members) with one token for those that have the same least set, in an order by `salt`, if together they have at most half as many sets again as the largest of them.
+
+    A large cluster of near copies shares most of a prefix, so its sets would be dealt, and held against its blocks, once for each of these shingles; so once for nearly all.
+    """
+    sums = keep(hot.groupBy("token").agg(F.min(F.xxhash64("key", F.lit(salt))).alias("center"), F.max("members").alias("members")), "centers")
+    rows = keep(hot.drop("members").join(sums, "token"), "centered")
+    union = rows.select("center", "key").distinct().groupBy("center").agg(F.count("*").alias("all"))
+    near = union.join(sums.groupBy("center").agg(F.max("members").alias("most")), "center").where("2 * all <= 3 * most").select("center", "all")
+    near = keep(near, "near")
+    alone = rows.join(near, "center", "left_anti").select("token", "key", "members")
+    together = rows.select("center", "key").distinct().join(near, "center").select(F.col("center").alias("token"), "key", F.col("all").alias("members"))
+    out = keep(alone.union(together), "families")
+    for x in (sums, rows, near):
+        discard(x)
+    return out
+
+
 def _labelled(dealt: DataFrame, block: int) -> DataFrame:
-    """(task, key): every group of `dealt` (token, key, and deal if it is dealt) lies within a task, of at most `block` sets, if a group is no larger itself."""
+    """(task, key): every group of `dealt` (token, key, and deal if it is dealt) lies within a task, of at most twice `block` sets, if a group is no larger itself.
+
+    What a label brings together beyond `block` is brought together anew, by one of each group's sets (the least in an order of its own, in each of the
+    rounds), up to twice `block`; groups that no round could place meet with those of exactly the same sets. So a set doesn't travel once for each of its shingles where groups
+    hang together by a few, as more and more do in larger tables.
+    """
     part = F.xxhash64("token", "deal") if "deal" in dealt.columns else F.xxhash64("token")
     dealt = dealt.select(part.alias("part"), "key")
     # two steps of the smallest key: a group's smallest, then the smallest over a set's groups
@@ -437,13 +464,30 @@ def _labelled(dealt: DataFrame, block: int) -> DataFrame:
     # a group goes where its smallest label says
     home = dealt.join(label, "key").groupBy("part").agg(F.min("label").alias("task"))
     placed = keep(dealt.join(home, "part").select("part", "task", "key"), "placed")
-    rows = placed.select("task", "key").distinct()
-    sizes = rows.groupBy("task").agg(F.count("*").alias("n"))
-    fits = rows.join(sizes.where(F.col("n") <= block), "task", "left_semi")
-    alone = placed.join(sizes.where(F.col("n") > block), "task", "left_semi").select(F.xxhash64("part", F.lit(3)).alias("task"), "key")
-    out = keep(fits.select(F.xxhash64("task", F.lit(1)).alias("task"), "key").union(alone).distinct(), "tasks")
-    discard(placed)
-    return out
+    out, over = _fitting(placed, block, 1)
+    for salt in ROUNDS:
+        if over is None:
+            return out
+        home = over.groupBy("part").agg(F.min(F.xxhash64("key", F.lit(salt))).alias("task"))
+        placed = _replaced(over, keep(over.join(home, "part").select("part", "task", "key"), "placed"))
+        fits, over = _fitting(placed, 2 * block, salt)
+        out = out.union(fits)
+    if over is None:
+        return out
+    same = F.xxhash64(F.count("*"), *[F.bit_xor(F.xxhash64("key", F.lit(salt))) for salt in (3, 5)])
+    home = over.groupBy("part").agg(same.alias("task"))
+    return out.union(_replaced(over, keep(over.join(home, "part").select("task", "key").distinct(), "tasks")))
+
+
+def _fitting(placed: DataFrame, block: int, salt: int) -> tuple[DataFrame, DataFrame | None]:
+    """(task, key) of the tasks of at most `block` sets, and (part, key) of the others, if there are any. `placed` goes."""
+    rows = keep(placed.select("task", "key").distinct(), "rows")
+    large = keep(rows.groupBy("task").agg(F.count("*").alias("n")).where(F.col("n") > block).select("task"), "large")
+    fits = keep(rows.join(large, "task", "left_anti").select(F.xxhash64("task", F.lit(salt)).alias("task"), "key"), "tasks")
+    over = None if large.isEmpty() else keep(placed.join(large, "task", "left_semi").select("part", "key"), "over")
+    for x in (rows, large, placed):
+        discard(x)
+    return fits, over
 
 
 def _key_filter(wanted: DataFrame) -> np.ndarray:

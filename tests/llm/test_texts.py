@@ -737,3 +737,43 @@ def test_kept_tables_leave_no_shuffle_files(spark):
     kept = state.keep(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().repartition(3, "count"), "kept")
     assert not shuffled() - before and kept.count() == 7
     assert spark.conf.get(state.CLEANUP) == "false"
+
+
+def test_groups_that_hang_together_travel_little(spark):
+    """Every group lies within a task; where a label would bring too many sets together, a set still doesn't go out once for each shingle."""
+    rng = random.Random(6)
+    groups = {}
+    for cluster in range(12):  # sets that share 20 shingles each, and one shingle with the next cluster
+        own = range(100 * cluster, 100 * cluster + 6)
+        groups |= {(cluster, k): rng.sample(own, 5) for k in range(20)} | {(cluster, 20): [100 * cluster, 100 * cluster + 105]}
+    groups |= {(99, k): rng.sample(range(9000, 9014), 8) for k in range(20)}  # one cluster of more sets than a block
+    tokens = {x: i for i, x in enumerate(groups)}
+    rows = [(tokens[x], key) for x, keys in groups.items() for key in keys]
+    tasks = {}
+    for r in ngram_join._labelled(spark.createDataFrame(rows, "token long, key long"), 8).collect():
+        tasks.setdefault(r.task, []).append(r.key)
+    assert all(any(set(keys) <= set(t) for t in tasks.values()) for keys in groups.values())
+    assert all(len(t) == len(set(t)) <= 16 for t in tasks.values())
+    assert sum(map(len, tasks.values())) <= 3 * len({key for _, key in rows})
+
+
+def test_large_cluster_is_dealt_once(frame, monkeypatch):
+    """Near copies that share most of their prefixes, more of them than a block holds: they go out a few times, not once for each shingle."""
+    rng, base, texts = random.Random(7), [f"w{k}" for k in range(150)], []
+    for k in range(90):
+        words = [*base]
+        for at in rng.sample(range(150), 1 + k % 3):
+            words[at] = f"edit{k}-{at}"
+        texts.append(" ".join(words))
+    texts += [" ".join([*base[:90], *[f"other{k}-{i}" for i in range(60)]]) for k in range(20)]  # many of the shingles, no link
+    gone, labelled = [], ngram_join._labelled
+
+    def counting(*a):
+        out = labelled(*a)
+        gone.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "_labelled", counting)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_jaccard_join(frame(texts), block=12).collect()}
+    assert [found[i] for i in range(len(texts))] == components_by_force(texts)
+    assert len(gone) == 4 and sum(gone) <= 5 * len(texts)
